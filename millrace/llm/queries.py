@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.lines import line_groups
+
+    return line_groups(table(spark, sf_dir, "documents"))
+
+
+def op3_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.bpe import encode_documents
 
@@ -28,6 +40,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_minhash_join": op3_minhash_join,
     "op5_bpe_codec": op5_bpe_codec,
     "op7_secret_scan": op7_secret_scan,
     "op10_packing": op10_packing,
