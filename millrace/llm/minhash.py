@@ -68,14 +68,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all shingles of the texts in ``data``, and where each text's begin (one more at the end).
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of the texts in ``data`` begins, its 64-bit hash, and each text's first word (one more at the end).
 
-    ``data`` are UTF-8 bytes, text i being data[offsets[i]:offsets[i + 1]].
+    ``data`` are UTF-8 bytes, text i being data[offsets[i]:offsets[i + 1]]; A-Z count as a-z.
     """
-    count, size = len(offsets) - 1, len(data)
+    size = len(data)
     if not size:
-        return np.empty(0, np.uint64), np.zeros(count + 1, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
     with np.errstate(over="ignore"):
         letter = ~_SPACE[data]
         first = np.zeros(size + 1, bool)
@@ -87,15 +87,20 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[n
         sums = np.cumsum(_LETTER[data] * power)
         word = sums[ends]
         word[starts > 0] -= sums[starts[starts > 0] - 1]
-        word = _mix(word * inverse[starts])
-        at = np.searchsorted(starts, offsets)  # each text's first word
+        return starts, _mix(word * inverse[starts]), np.searchsorted(starts, offsets)
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of the texts in ``data``, and where each text's begin (one more at the end)."""
+    _, word, at = word_hashes(data, offsets)
+    with np.errstate(over="ignore"):
         own = np.diff(at)
         many = np.maximum(own - words + 1, np.minimum(own, 1))
         begins = np.r_[0, np.cumsum(many)]
         start = np.repeat(at[:-1] - begins[:-1], many) + np.arange(begins[-1])
         length = np.repeat(np.minimum(own, words), many)
         hashes = length.astype(np.uint64)
-        for k in range(words):
+        for k in range(words if len(word) else 0):
             inside = k < length
             hashes = np.where(inside, hashes * np.uint64(_BASE) + word[np.minimum(start + k, len(word) - 1)], hashes)
         return _mix(hashes), begins

@@ -15,24 +15,54 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.media import media_report
+
+    return media_report(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.secrets import secret_report
 
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.warc import archive_report
+
+    return archive_report(table(spark, sf_dir, "pages"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.licenses import license_report
+
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack_documents
 
@@ -41,9 +71,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_minhash_join": op3_minhash_join,
+    "op4_quality": op4_quality,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_media_chunks": op6_media_chunks,
     "op7_secret_scan": op7_secret_scan,
+    "op8_warc_index": op8_warc_index,
+    "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
 }
 
