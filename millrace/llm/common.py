@@ -1,33 +1,16 @@
-"""Session plumbing that the corpus operators share: code shipping, scratch tables, table reads."""
+"""Session plumbing that the corpus operators share: scratch tables, table reads."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+from millrace.functions.session import ship
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(root)
-    target = os.path.join(tempfile.mkdtemp(), f"{name}.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        for folder, _, files in os.walk(root):
-            for file in files:
-                if file.endswith(".py"):
-                    path = os.path.join(folder, file)
-                    archive.write(path, os.path.join(name, os.path.relpath(path, root)))
-    context.addPyFile(target)
-    _shipped.add(context.applicationId)
+__all__ = ["Scratch", "scratch_dir", "ship", "table"]
 
 
 def scratch_dir(spark: SparkSession) -> str:
