@@ -91,13 +91,12 @@ def sentinels(df: DataFrame, condition: Column, count: int) -> DataFrame:
     marked = df.withColumn("__pass", F.coalesce(condition, F.lit(False)))
 
     def fold(state: dict, row: dict) -> Iterator[dict]:
-        offset = row["offset"]
         if state.get("pending") is not None:
-            if state["pending"]["offset"] + 1 - state["committed"] >= count:
+            last = state["pending"]["offset"]
+            # the first position that the policy sees counts as one message
+            if last + 1 - state.setdefault("committed", last) >= count:
                 yield state["pending"] | {"is_filtered": True}
-                state["committed"] = state["pending"]["offset"] + 1
-                state["pending"] = None
-        state.setdefault("committed", offset)
+                state["committed"], state["pending"] = last + 1, None
         if row.pop("__pass"):
             state["pending"] = None
             yield row | {"is_filtered": False}

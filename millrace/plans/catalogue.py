@@ -243,10 +243,10 @@ ORACLE_SQL: dict[str, str] = {
     "filter_progress": LOG_SQL + """SELECT partition, count(*) FILTER (event_type = 'error') AS n_passed, max("offset") + 1 AS policy_next,
        max("offset") FILTER (event_type = 'error') + 1 AS plain_next FROM log GROUP BY partition""",
     "filter_sentinels": LOG_SQL.replace("WITH log", "WITH RECURSIVE log") + """, walk AS (
-  SELECT partition, "offset" AS o, "offset" AS committed, event_type = 'error' AS pass, CAST(NULL AS BIGINT) AS fired FROM log WHERE "offset" = 0
+  SELECT partition, "offset" AS o, CAST(NULL AS BIGINT) AS committed, event_type = 'error' AS pass, CAST(NULL AS BIGINT) AS fired FROM log WHERE "offset" = 0
   UNION ALL
-  SELECT l.partition, l."offset", CASE WHEN NOT w.pass AND w.o + 1 - w.committed >= 3 THEN w.o + 1 ELSE w.committed END,
-         l.event_type = 'error', CASE WHEN NOT w.pass AND w.o + 1 - w.committed >= 3 THEN w.o END
+  SELECT l.partition, l."offset", CASE WHEN w.pass THEN w.committed WHEN w.o + 1 - coalesce(w.committed, w.o) >= 3 THEN w.o + 1 ELSE coalesce(w.committed, w.o) END,
+         l.event_type = 'error', CASE WHEN NOT w.pass AND w.o + 1 - coalesce(w.committed, w.o) >= 3 THEN w.o END
   FROM walk w JOIN log l ON l.partition = w.partition AND l."offset" = w.o + 1)
 SELECT partition, o AS "offset", false AS is_filtered FROM walk WHERE pass
 UNION ALL SELECT partition, fired, true FROM walk WHERE fired IS NOT NULL

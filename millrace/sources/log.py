@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -111,8 +112,8 @@ class LogStore:
         """Append rows (key, value, optionally headers, partition, timestamp). A row without a partition goes to one by
         its key's hash, or its value's. Offsets go on from the partition's end in ``order_by`` order."""
         count = self.partition_count(topic)
-        hashed = F.pmod(F.xxhash64(F.coalesce("key", "value")), F.lit(count)).cast("int")
         columns = rows.columns
+        hashed = F.pmod(F.xxhash64(F.coalesce(*[c for c in ("key", "value") if c in columns])), F.lit(count)).cast("int")
         given = F.coalesce(F.col("partition").cast("int"), hashed) if "partition" in columns else hashed
         bad = F.raise_error(F.format_string("no partition %d", "partition")).cast("int")
         placed = rows.withColumn("partition", given).withColumn("partition", F.when(F.col("partition").between(0, count - 1), F.col("partition")).otherwise(bad))
@@ -148,7 +149,11 @@ def _rows(path: str, topic: str, part: _Range):
         return
     for row in found.sort_by("offset").to_pylist():
         headers = [(h["key"], h["value"]) for h in row["headers"] or ()]
-        yield (topic, part.partition, row["offset"], row["timestamp"], row["key"], row["value"], headers)
+        time = row["timestamp"]
+        if time is not None:
+            time = pd.Timestamp(time)
+            time = (time.tz_localize("UTC") if time.tzinfo is None else time).to_pydatetime(warn=False)
+        yield (topic, part.partition, row["offset"], time, row["key"], row["value"], headers)
 
 
 def _ends(path: str, topic: str) -> dict[str, int]:
@@ -205,12 +210,12 @@ def _chosen(option: str | None, ends: dict[str, int], default: str) -> dict[str,
 
 class _LogReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path, self.topic, self.options = options["path"], options["topic"], dict(options)
+        self.path, self.topic, self.options = options["path"], options["topic"], {k.lower(): v for k, v in dict(options).items()}
 
     def partitions(self):
         ends = _ends(self.path, self.topic)
-        start = _chosen(self.options.get("startingOffsets"), ends, "earliest")
-        end = _chosen(self.options.get("endingOffsets"), ends, "latest")
+        start = _chosen(self.options.get("startingoffsets"), ends, "earliest")
+        end = _chosen(self.options.get("endingoffsets"), ends, "latest")
         return [_Range(int(p), start[p], end[p]) for p in ends]
 
     def read(self, partition):
@@ -219,12 +224,12 @@ class _LogReader(DataSourceReader):
 
 class _LogStreamReader(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
-        self.path, self.topic, self.options = options["path"], options["topic"], dict(options)
-        self.most = int(options.get("maxOffsetsPerTrigger", 0))
+        self.path, self.topic, self.options = options["path"], options["topic"], {k.lower(): v for k, v in dict(options).items()}
+        self.most = int(self.options.get("maxoffsetspertrigger", 0))
         self.at: dict[str, int] | None = None
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return _chosen(self.options.get("startingOffsets"), _ends(self.path, self.topic), "earliest")
+        return _chosen(self.options.get("startingoffsets"), _ends(self.path, self.topic), "earliest")
 
     def latestOffset(self) -> dict:  # noqa: N802
         ends = _ends(self.path, self.topic)

@@ -10,7 +10,7 @@ import traceback
 from collections.abc import Callable, Mapping
 from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -98,10 +98,11 @@ class Gauge:
         self.metrics.gauge(self.name, self.value, self.tags)
 
 
-def observed(df: DataFrame, name: str = "millrace", now: Column | None = None) -> DataFrame:
-    """Count rows and measure their latency while they pass; values come with the query's progress."""
-    late = F.unix_micros((now if now is not None else F.current_timestamp()).cast("timestamp")) - F.unix_micros(F.col("timestamp"))
-    return df.observe(name, F.count(F.lit(1)).alias("messages"), (F.max(late) / 1e6).alias("latency_seconds"))
+def observed(df: DataFrame, name: str = "millrace") -> DataFrame:
+    """Count rows and note their oldest and newest timestamps (epoch seconds) while they pass; the values come with the
+    query's progress, where the listener turns the oldest one into the consumer's latency."""
+    seconds = F.unix_micros(F.col("timestamp")) / 1e6
+    return df.observe(name, F.count(F.lit(1)).alias("messages"), F.min(seconds).alias("oldest"), F.max(seconds).alias("newest"))
 
 
 class ProgressListener(StreamingQueryListener):
@@ -123,6 +124,8 @@ class ProgressListener(StreamingQueryListener):
             for key, value in row.asDict().items():
                 if value is not None:
                     self.metrics.gauge(f"{name}.{key}", value, tags)
+                if value is not None and key == "oldest":
+                    self.metrics.gauge(f"{name}.latency_seconds", time.time() - value, tags)
         if self.health:
             self.health.touch()
 

@@ -38,8 +38,9 @@ class BatchProcessor(StatefulProcessor):
         items = list(self.items.get())
         self.items.clear()
         self.meta.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if self.max_seconds is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         return {"topic": key[0], "partition": key[1], "values": [i[0] for i in items], "next_offset": items[-1][1] + 1, "timestamp": items[-1][2]}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
