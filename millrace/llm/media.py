@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, ship
@@ -96,15 +96,19 @@ def _digest(chunk: bytes) -> bytes:
 
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media_sha (binary) and the chunks' digests in order."""
+    """doc_id, text_hash, n_bytes, media_sha (binary) and the chunks' digests in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(raw), hashlib.sha256(own).digest(), [_digest(c) for c in chunks]) for raw, own, chunks in _media_chunks(batch.column(1).to_pylist())]
+            rows = [(len(raw), hashlib.sha256(own).digest(), [_digest(c) for c in chunks]) for raw, own, chunks in _media_chunks(batch.column(2).to_pylist())]
             n, sha, digests = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media_sha", "digests"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], ["doc_id", "text_hash", "n_bytes", "media_sha", "digests"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media_sha binary, digests array<binary>")
+    return docs.select("doc_id", _text_hash(), "text").mapInArrow(run, "doc_id bigint, text_hash bigint, n_bytes bigint, media_sha binary, digests array<binary>")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
 
 
 def _bounded(frame: DataFrame, rows: int) -> DataFrame:
@@ -122,10 +126,12 @@ def store(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     homes = held.groupBy("digest").agg(F.min("media_id").alias("home"), F.max("media_id").alias("last")).filter("home <> last").select("digest", "home")
     shared = held.join(homes, "digest").select("media_id", "digest", (F.col("media_id") == F.col("home")).alias("kept"))
     marks = shared.groupBy("media_id").agg(F.collect_list(F.when(F.col("kept"), F.col("digest"))).alias("lent"), F.collect_list(F.when(~F.col("kept"), F.col("digest"))).alias("foreign"))
-    copies = lists.join(owners.filter("copies > 1").select("media_sha", "media_id"), "media_sha").filter(key != F.col("media_id")).select("doc_id").distinct()
-    decided = copies.select(key.alias("media_id"), F.lit(True).alias("skip")).join(marks, "media_id", "full")
-    decided = scratch.cut(decided)
-    met = docs.select(key.alias("media_id"), "text").join(_bounded(decided, BROADCAST_ROWS), "media_id", "left").select("text", "skip", "lent", "foreign")
+    # a row whose text another doc_id owns is skipped, not the other texts that may share its own doc_id
+    copies = lists.join(owners.filter("copies > 1").select("media_sha", "media_id"), "media_sha").filter(key != F.col("media_id")).select(key.alias("media_id"), "text_hash").distinct()
+    copies = scratch.cut(copies.withColumn("skip", F.lit(True)))
+    marks = scratch.cut(marks)
+    met = docs.select(key.alias("media_id"), _text_hash(), "text").join(_bounded(copies, BROADCAST_ROWS), ["media_id", "text_hash"], "left").join(_bounded(marks, BROADCAST_ROWS), "media_id", "left").select("text", "skip", "lent", "foreign")
+    repeats = lists.groupBy("doc_id", "media_sha").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +150,8 @@ def store(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), kind), strict=True)], ["media_sha", "n_bytes", "chunks"])
 
     written = met.mapInArrow(run, "media_sha binary, n_bytes bigint, chunks array<struct<digest: binary, data: binary, lent: boolean>>")
-    return lists, scratch.cut(written)
+    # rows that repeat a doc_id and its text would store its image twice
+    return lists, scratch.cut(written.dropDuplicates(["media_sha"]) if repeats else written)
 
 
 def read_back(chunks: DataFrame) -> DataFrame:

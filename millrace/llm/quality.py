@@ -157,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Att
 def score(docs: DataFrame, model: AttentionModel | float) -> DataFrame:
     """The documents with a column ``quality_score`` from 0 to 1."""
     ship(docs.sparkSession)
+    docs = docs.drop("quality_score")
     at = docs.columns.index("text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 

@@ -6,7 +6,7 @@ characters is a secret if the best random model's log-likelihood ratio against t
 reaches the threshold. Spans of the patterns always stay; a model span that overlaps one is left out.
 
 Spans are code points, end exclusive, over the whole text. A null text counts as empty; repeated rows give equal rows,
-an empty table gives an empty one, extra columns pass through ``scan`` untouched.
+an empty table gives an empty one, extra columns pass through ``scan`` untouched, but for those of its own names.
 """
 
 from __future__ import annotations
@@ -145,6 +145,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]
 def scan(docs: DataFrame, text_column: str = "text", threshold: float = THRESHOLD, redact: bool = False, samples: list | None = None) -> DataFrame:
     """Add ``base_spans`` and ``secret_spans`` (strings of kind:start:end) and, with ``redact``, replace the text."""
     ship(docs.sparkSession)
+    docs = docs.drop("base_spans", "secret_spans")
     models = train(samples or labelled_samples())
     at = docs.columns.index(text_column)
     schema = docs.schema
