@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import threading
@@ -137,6 +138,22 @@ class ProgressListener(StreamingQueryListener):
         self.metrics.increment("query.failed" if event.exception else "query.stopped")
 
 
+def kafka_statistics(text: str, metrics: Metrics) -> None:
+    """Gauges of a Kafka client's statistics report (JSON); latencies go from microseconds to milliseconds."""
+    stats = json.loads(text)
+    for name, key in (("message_count", "msg_cnt"), ("message_count_max", "msg_max"), ("message_size", "msg_size"), ("message_size_max", "msg_size_max"), ("reply_queue_size", "replyq")):
+        if key in stats:
+            metrics.gauge(f"producer.librdkafka.{name}", stats[key])
+    for broker, own in (stats.get("brokers") or {}).items():
+        tags = {"broker_id": str(own.get("nodeid", broker))}
+        for key in ("int_latency", "outbuf_latency", "rtt"):
+            if (own.get(key) or {}).get("p99"):
+                metrics.timing(f"producer.librdkafka.p99_{key}", own[key]["p99"] / 1000, tags)
+        for name, key in (("broker_txerrs", "txerrs"), ("broker_txretries", "txretries")):
+            if own.get(key):
+                metrics.gauge(f"producer.librdkafka.{name}", own[key], tags)
+
+
 class HealthFile:
     """A file that is touched at most once in ``every`` seconds while the query makes progress."""
 

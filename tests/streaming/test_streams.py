@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from millrace.operators import dlq
 from millrace.sources import kafka
+from millrace.sources.consumer import Closed, EndOfPartition, LogConsumer, LogProducer
 from millrace.sources.log import LogStore, OffsetOutOfRange, PartitionDoesNotExist, TopicDoesNotExist, TopicExists, _LogStreamReader, register
 from millrace.streaming import metrics, processor
+from millrace.streaming.metric_names import FROM_PROGRESS, NAMES
 from millrace.streaming.stateful import BatchProcessor, batch_stream, limit_stream
 
 T0 = dt.datetime(2024, 1, 1)
@@ -204,3 +206,48 @@ def test_listener_reports(spark, store, tmp_path):
             break
         time.sleep(0.1)
     assert any("batch.rows" in x for x in lines)
+
+
+def test_consumer_and_producer(spark, store):
+    producer = LogProducer(store)
+    for p, v in ((0, b"a"), (1, b"b"), (0, b"c")):
+        producer.produce("t", v, partition=p, headers=[("h", b"1")])
+    assigned, revoked = [], []
+    consumer = LogConsumer(store, "g", end_of_partition=True)
+    consumer.subscribe("t", assigned.append, revoked.append)
+    assert assigned == [{0: 0, 1: 0}]
+    assert [bytes(consumer.poll().value) for _ in range(2)] == [b"a", b"c"]
+    with pytest.raises(EndOfPartition):
+        consumer.poll()
+    consumer.pause([1])
+    assert consumer.poll() is None
+    consumer.resume([1])
+    assert bytes(consumer.poll().value) == b"b"
+    consumer.stage_offsets({0: 1})
+    consumer.stage_offsets({1: 1})
+    assert consumer.commit_offsets() == {0: 1, 1: 1}
+    consumer.seek({0: 9})
+    with pytest.raises(OffsetOutOfRange):
+        consumer.poll()
+    for wrong, error in (({5: 0}, PartitionDoesNotExist), ({0: -1}, ValueError)):
+        with pytest.raises(error):
+            consumer.seek(wrong)
+    consumer.close()
+    assert revoked == [[0, 1]]
+    with pytest.raises(Closed):
+        consumer.poll()
+    again = LogConsumer(store, "g")
+    again.subscribe("t")
+    assert again.tell() == {0: 1, 1: 1}
+    assert bytes(again.poll().value) == b"c"
+    late = LogConsumer(store, "other", "latest")
+    late.subscribe("t")
+    assert late.poll() is None
+
+
+def test_client_statistics():
+    lines = []
+    metrics.kafka_statistics(json.dumps({"msg_cnt": 3, "brokers": {"b": {"nodeid": 1, "rtt": {"p99": 2500}, "txerrs": 0}}}), metrics.StatsdMetrics("m", lines.append))
+    assert lines == ["m.producer.librdkafka.message_count:3|g", "m.producer.librdkafka.p99_rtt:2.5|ms|#broker_id:1"]
+    assert len(set(NAMES)) == len(NAMES)
+    assert set(FROM_PROGRESS) <= set(NAMES)
