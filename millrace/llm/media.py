@@ -26,7 +26,7 @@ from millrace.llm.common import Scratch, ship
 WIDTH = 64
 #: Least, mean (a power of two) and largest bytes of a chunk.
 LEAST, MEAN, MOST = 256, 1024, 8192
-#: Decisions on chunks are broadcast up to this many rows (about 40 bytes each), else joined by shuffle.
+#: Decisions on rows and chunks are broadcast up to this many (about 40 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 400_000
 
 _GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -111,8 +111,10 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
 
 
-def _bounded(frame: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+def _bounded(frame: DataFrame, most: int, items: Column | None = None) -> DataFrame:
+    """For broadcast if the frame has at most so many rows, or items of an array column with the rows."""
+    counted = frame if items is None else frame.select(F.explode_outer(items))
+    return F.broadcast(frame) if counted.limit(most + 1).count() <= most else frame
 
 
 def store(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +132,7 @@ def store(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     copies = lists.join(owners.filter("copies > 1").select("media_sha", "media_id"), "media_sha").filter(key != F.col("media_id")).select(key.alias("media_id"), "text_hash").distinct()
     copies = scratch.cut(copies.withColumn("skip", F.lit(True)))
     marks = scratch.cut(marks)
-    met = docs.select(key.alias("media_id"), _text_hash(), "text").join(_bounded(copies, BROADCAST_ROWS), ["media_id", "text_hash"], "left").join(_bounded(marks, BROADCAST_ROWS), "media_id", "left").select("text", "skip", "lent", "foreign")
+    met = docs.select(key.alias("media_id"), _text_hash(), "text").join(_bounded(copies, BROADCAST_ROWS), ["media_id", "text_hash"], "left").join(_bounded(marks, BROADCAST_ROWS, F.concat("lent", "foreign")), "media_id", "left").select("text", "skip", "lent", "foreign")
     repeats = lists.groupBy("doc_id", "media_sha").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
