@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.session import ship
 
-__all__ = ["Scratch", "scratch_dir", "ship", "table"]
+__all__ = ["Scratch", "scratch_dir", "ship", "spread", "table"]
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -51,3 +51,9 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores, dealt out to all of them; any other as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import table
+from millrace.llm.common import spread, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,31 +24,31 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+    return near_duplicates(spread(table(spark, sf_dir, "documents")), words=4)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.quality import quality_report
 
-    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_report(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.bpe import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), digests=True)
+    return encode_documents(spread(table(spark, sf_dir, "documents")), digests=True)
 
 
 def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.media import media_report
 
-    return media_report(table(spark, sf_dir, "documents"))
+    return media_report(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.secrets import secret_report
 
-    return secret_report(table(spark, sf_dir, "documents"))
+    return secret_report(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
