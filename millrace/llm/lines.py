@@ -26,6 +26,8 @@ from millrace.llm.graph import components
 SHINGLE, MIN_CHARS, BANDS, ROWS = 10, 20, 7, 3
 #: Shingle positions that one exploded row covers.
 UNROLL = 4
+#: Most fingerprints of lines to confirm that are broadcast.
+BROADCAST_KEYS = 2_000_000
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -58,16 +60,21 @@ def _candidate_pairs(signed: DataFrame, scratch: Scratch, bands: int, rows: int)
     return met.select("k1", F.explode(F.array("low", "high")).alias("other")).filter("k1 != other").select(F.least("k1", "other").alias("u"), F.greatest("k1", "other").alias("v")).distinct()
 
 
-def _confirm(pairs: DataFrame, lines: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, lines: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
     """Links among the pairs: 100 * intersection >= percent * union of the full shingle sets."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("k1")).distinct()
-    texts = lines.select(_first_key().alias("k1"), "norm").join(wanted, "k1", "left_semi").distinct()
+    wanted = scratch.cut(pairs.select(F.explode(F.array("u", "v")).alias("k1")).distinct())
+    # fingerprints of 8 bytes: broadcast below a checked number of them, so that the lines needn't be shuffled
+    small = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    texts = lines.select(_first_key().alias("k1"), "norm").join(F.broadcast(wanted) if small else wanted, "k1", "left_semi").distinct()
+    texts = scratch.cut(texts)
     side = lambda key, name: texts.select(F.col("k1").alias(key), F.col("norm").alias(name))
     met = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
     grams = lambda name: F.array_distinct(F.expr(f"regexp_extract_all({name}, '(?s)(?=(.{{{shingle}}}))', 1)"))
-    sets = met.select("u", "v", grams("x").alias("x"), grams("y").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return sets.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("u", "v")
+    # the generator keeps the optimizer from copying the sets' expressions into the filter, once for each use
+    sets = met.select("u", "v", F.explode(F.array(F.struct(grams("x").alias("x"), grams("y").alias("y")))).alias("s"))
+    common = F.size(F.array_intersect("s.x", "s.y"))
+    # 100 c >= percent (x + y - c)
+    return sets.filter((100 + percent) * common >= percent * (F.size("s.x") + F.size("s.y"))).select("u", "v")
 
 
 def line_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -79,12 +86,13 @@ def line_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80, min_
     lines = _lines(docs, min_chars)
     places = scratch.cut(lines.select("doc_id", "line_no", _first_key().alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2")))
     pairs = scratch.cut(_candidate_pairs(_signatures(lines, shingle, bands, rows), scratch, bands, rows))
-    links = scratch.cut(_confirm(pairs, lines, shingle, percent))
+    links = scratch.cut(_confirm(pairs, lines, scratch, shingle, percent))
     groups = components(links, scratch)
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
     grouped = places.join(groups.withColumnRenamed("node", "k1"), "k1", "left").select("doc_id", "line_no", order.alias("place"), F.coalesce("component", "k1").alias("g1"), F.when(F.col("component").isNull(), F.col("k2")).alias("g2"))
     grouped = grouped.withColumn("g2", F.coalesce("g2", F.lit(0)))
-    first = grouped.groupBy("g1", "g2").agg(F.min("place").alias("first"), F.count("*").alias("group_lines"))
+    # written, so that both sides of the join are shuffles of their own and a hot group's side can be split
+    first = scratch.cut(grouped.groupBy("g1", "g2").agg(F.min("place").alias("first"), F.count("*").alias("group_lines")))
     met = grouped.join(first, ["g1", "g2"])
     base = F.lit(1 << 31).cast("decimal(10,0)")
     doc = F.floor(F.col("first") / base).cast("long")
