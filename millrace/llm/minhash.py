@@ -3,10 +3,12 @@
 Documents are sets of word shingles. Equal sets become one class first, so copies cost one row. Each class has a sketch
 of minwise tokens; token k of two sets agrees with the probability of their Jaccard similarity. In every one of several
 independent trees a node picks one or two token places (1/similarity on average), and its documents go to the child of
-their token there. Nodes of at most ``LEAF`` documents are compared exhaustively by sketch; larger nodes compare all
-documents with the node's least one and branch on. At the depth limit what is left is compared in blocks of ``LEAF``.
-Pairs that the sketches don't rule out are confirmed on the full shingle sets, first each document's best pair, then all
-pairs that still join two groups. Confirmed pairs go through union-find.
+their token there. Nodes of at most ``LEAF`` documents are compared exhaustively: by sketch on the first level, on full
+sets below. In larger nodes each document is compared with a center and branches on; what is left at the depth limit is
+compared in two random divisions into blocks of about ``LEAF``. Pairs that the sketches don't rule out are confirmed on
+the full shingle sets: first each document's best pair, then all pairs that still join two groups, then pairs that a
+likelier one made needless in a leaf but whose documents confirmed links have not joined. Confirmed pairs go through
+union-find.
 
 A link survives a tree's level with probability similarity x branching, about 1, so ``TREES`` trees find a pair at the
 threshold with a probability over 0.999. Nodes are keys of narrow rows (path, id); no group is ever held as a whole.
@@ -30,7 +32,9 @@ from millrace.llm.common import Scratch, ship
 from millrace.llm.graph import components
 
 #: Minwise tokens of a sketch, trees, deepest level, largest node that is compared exhaustively.
-TOKENS, TREES, DEPTH, LEAF = 64, 8, 6, 48
+TOKENS, TREES, DEPTH, LEAF = 64, 8, 4, 48
+#: Most ids of documents to confirm that are broadcast.
+BROADCAST_IDS = 2_000_000
 #: Bytes of text whose shingles are hashed together.
 CHUNK = 1 << 20
 
@@ -188,9 +192,10 @@ def _branch(rows: DataFrame, similarity: float, trees: int = 0) -> DataFrame:
     return rows.mapInArrow(run, "path bigint, id bigint")
 
 
-def _compare(leaves: DataFrame, least: int, sure: int) -> DataFrame:
-    """Pairs (a, b, agree) of leaf nodes with at least ``least`` equal tokens. Of pairs with ``sure`` or more only those
-    that join two groups of such pairs come out: the others are reached through them."""
+def _compare(leaves: DataFrame, least: int, likely: int, hidden: bool = False) -> DataFrame:
+    """Pairs (a, b, agree) in leaf nodes with at least ``least`` equal tokens, best first. A pair with ``likely`` equal
+    tokens or more joins its documents for the pairs after it, which then needn't come out. With ``hidden`` just those
+    come out whose documents are nevertheless in different groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,22 +205,27 @@ def _compare(leaves: DataFrame, least: int, sure: int) -> DataFrame:
                 ids = [m["id"] for m in members]
                 tokens = np.frombuffer(b"".join(m["sketch"] for m in members), "<u4").reshape(len(ids), -1)
                 equal = np.array([(tokens == row).sum(axis=1) for row in tokens])
-                group = list(range(len(ids)))
+                joined, group = np.arange(len(ids)), [m["group"] for m in members]
                 pairs = [(-int(equal[i, j]), i, j) for i, j in zip(*np.nonzero(np.triu(equal >= least, 1)), strict=True)]
                 for n, i, j in sorted(pairs):
-                    if -n >= sure:
-                        x, y = group[i], group[j]
-                        if x == y:
-                            continue
-                        group = [x if g == y else g for g in group]
-                    left.append(ids[i])
-                    right.append(ids[j])
-                    agree.append(-n)
+                    skipped = joined[i] == joined[j]
+                    if not skipped and -n >= likely:
+                        joined[joined == joined[j]] = joined[i]
+                    if skipped == hidden and (not hidden or group[i] != group[j]):
+                        left.append(ids[i])
+                        right.append(ids[j])
+                        agree.append(-n)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(agree, pa.int32())], ["a", "b", "agree"])
 
     return leaves.select("members").mapInArrow(run, "a bigint, b bigint, agree int")
 
 
+def _leaves(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Leaf nodes with their members' sketches and groups; a leaf has a bounded number of members."""
+    members = rows.join(classes.select("id", "sketch"), "id")
+    return members.groupBy("path", "block").agg(F.collect_list(F.struct("id", "sketch", "group")).alias("members"))
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) with at least ``least`` equal tokens, and their number."""
 
@@ -232,37 +242,94 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, agree int")
 
 
-def candidates(classes: DataFrame, scratch: Scratch, similarity: float, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
-    """Pairs (a < b, agree) of class ids that some node puts together and the sketches don't rule out."""
+def _bounds(similarity: float) -> tuple[int, int]:
+    """Equal tokens that rule a pair out below (3.5 deviations), and that make a link likely (1.5 above)."""
     spread = (similarity * (1 - similarity) / TOKENS) ** 0.5
-    least, sure = int(TOKENS * (similarity - 4.5 * spread)), int(TOKENS * (similarity + 3 * spread))
-    found, stars = [], []
+    return int(TOKENS * (similarity - 3.5 * spread)), round(TOKENS * (similarity + 1.5 * spread))
+
+
+def candidates(classes: DataFrame, scratch: Scratch, similarity: float, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(pairs, first leaves, deep leaves). Pairs (a < b, agree) of class ids that a node of the first level or a center
+    puts together and the sketches don't rule out, without those that likelier pairs make needless; the rows (path,
+    block, id) of first-level leaves of three or more; and those of the leaves below large nodes, if there are any."""
+    least, likely = _bounds(similarity)
+    first, stars, deep = None, [], []
     frontier = _branch(classes.select("id", "sketch"), similarity, trees)
     for level in range(1, depth + 1):
         frontier = scratch.cut(frontier.distinct())
-        sizes = scratch.cut(frontier.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("center")).filter("n > 1"))
+        # a node's center is its least id by exclusive or with a number of the level: another center on every level
+        salt = F.lit(int(_numbers(level, 11)[-1]) >> 1)
+        sizes = scratch.cut(frontier.groupBy("path").agg(F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(salt)).alias("center")).filter("n > 1"))
         large = sizes.filter(F.col("n") > leaf)
         some = large.limit(1).count() > 0
-        in_leaf = frontier.join(sizes.filter(F.col("n") <= leaf), "path").withColumn("block", F.lit(0))
-        if some and level == depth:
-            blocks = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (leaf / 2)))
-            in_leaf = in_leaf.unionByName(frontier.join(large, "path").withColumn("block", blocks.cast("int")))
-        grouped = in_leaf.select("path", "block", "id").join(classes.select("id", "sketch"), "id").groupBy("path", "block").agg(F.collect_list(F.struct("id", "sketch")).alias("members"))
-        found.append(scratch.cut(_compare(grouped, least, sure).groupBy("a", "b").agg(F.max("agree").alias("agree"))))
+        in_leaf = frontier.join(sizes.filter(F.col("n") <= leaf), "path").withColumn("block", F.lit(0)).select("path", "block", "id", "n")
+        if level == 1:
+            first = scratch.cut(in_leaf)
+        else:
+            deep.append(scratch.cut(in_leaf.drop("n")))
         if not some:
             break
-        members = scratch.cut(frontier.join(large, "path").select("path", "center", "id"))
-        stars.append(members.filter(F.col("id") != F.col("center")).select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
-        frontier = _branch(members.select("path", "id").join(classes.select("id", "sketch"), "id"), similarity)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+        members = scratch.cut(frontier.join(large, "path").select("path", "center", "id", "n"))
+        # one star link of a document on a level is enough: the others would mostly join it to the same group
+        star = members.groupBy("id").agg(F.min("center").alias("center")).select(F.col("center").bitwiseXOR(salt).alias("center"), "id")
+        stars.append(star.filter("id <> center").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")))
+        if level == depth:
+            # two independent divisions into blocks, besides the star links
+            number = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.ceil(F.col("n") / (leaf / 2))).cast("int") * 2 + k
+            deep.append(members.select("path", F.explode(F.array(number(0), number(1))).alias("block"), "id"))
+        else:
+            frontier = _branch(members.select("path", "id").join(classes.select("id", "sketch"), "id"), similarity)
+    out = scratch.cut(_compare(_leaves(first.withColumn("group", F.col("id")), classes), least, likely))
     if stars:
-        every = stars[0]
-        for more in stars[1:]:
-            every = every.unionByName(more)
-        out = out.unionByName(_agreeing(every.distinct(), classes, least))
-    return out.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+        out = out.unionByName(_agreeing(_union(stars).distinct(), classes, least))
+    return out.groupBy("a", "b").agg(F.max("agree").alias("agree")), first.filter("n > 2").drop("n"), _union(deep) if deep else None
+
+
+def _deep_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) within the leaves below large nodes, where near pairs are too many to give out for confirmation:
+    each leaf compares its members' full sets, and links that join two of its groups come out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for at in range(batch.num_rows):
+                members = sorted(batch.column(0)[at].as_py(), key=lambda m: m["id"])
+                own = [np.frombuffer(m["shingles"], np.uint64) for m in members]
+                sizes = np.array([len(x) for x in own])
+                values, places = np.unique(np.concatenate(own), return_inverse=True)
+                counts = np.bincount(places)
+                often = np.cumsum(counts > 1) - 1  # columns of the shingles that more than one member has
+                table = np.zeros((len(own), int(often[-1]) + 1 if len(values) else 0), np.float32)
+                row = np.repeat(np.arange(len(own)), sizes)
+                shared = counts[places] > 1
+                table[row[shared], often[places[shared]]] = 1
+                common = np.rint(table @ table.T)
+                near = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+                joined = np.arange(len(own))
+                for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+                    if joined[i] != joined[j]:
+                        joined[joined == joined[j]] = joined[i]
+                        left.append(members[i]["id"])
+                        right.append(members[j]["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
+
+    members = rows.join(sets, "id").groupBy("path", "block").agg(F.collect_list(F.struct("id", "shingles")).alias("members"))
+    return members.select("members").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _still_apart(leaf_rows: DataFrame, groups: DataFrame, classes: DataFrame, done: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of leaf nodes whose documents confirmed links have not joined, though likely ones hid them."""
+    named = leaf_rows.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("path", "block", "id", F.coalesce("component", "id").alias("group"))
+    mixed = named.groupBy("path", "block").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("path", "block")
+    pairs = _compare(_leaves(named.join(mixed, ["path", "block"]), classes), *_bounds(similarity), hidden=True).select("a", "b").distinct()
+    return pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -272,6 +339,8 @@ def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), words)], pa.binary())], ["id", "shingles"])
 
+    # ids of 8 bytes: broadcast below a checked number of them, so that the texts needn't be shuffled
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
     return wanted.mapInArrow(run, "id bigint, shingles binary")
 
@@ -301,16 +370,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(spark, "minhash")
     signed = scratch.cut(signatures(docs, words))
     classes = scratch.cut(signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest", "sketch").agg(F.min("doc_id").alias("id")))
-    pairs = scratch.cut(candidates(classes, scratch, percent / 100))
-    sets = scratch.cut(_full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words), "none")
-    # the best pair of each document first; then those that still join two groups
+    pairs, leaf_rows, deep = candidates(classes, scratch, percent / 100)
+    pairs = scratch.cut(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    ids = scratch.cut((ids if deep is None else ids.unionByName(deep.select("id"))).distinct())
+    sets = scratch.cut(_full_sets(docs, ids, words), "none")
+    # the best pair of each document first; then those that still join two groups; then those that likely pairs hid
     best = pairs.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), "b")
-    links = scratch.cut(_confirm(best, sets, percent))
+    links = _confirm(best, sets, percent)
+    links = scratch.cut(links if deep is None else links.unionByName(_deep_links(deep, sets, percent)))
     groups = scratch.cut(components(links, scratch))
     of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_group"))
     open_pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
     links = links.unionByName(scratch.cut(_confirm(open_pairs, sets, percent)))
-    groups = components(links, scratch)
+    groups = scratch.cut(components(links, scratch))
+    hidden = scratch.cut(_still_apart(leaf_rows, groups, classes, pairs, percent / 100))
+    if hidden.limit(1).count():
+        groups = components(links.unionByName(_confirm(hidden, sets, percent)), scratch)
     classed = signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "id"), "digest", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return classed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -14,7 +14,7 @@ def rows():
     base = [
         (1, SENTENCE + "\nA second line that nobody else has, number one."),
         (2, SENTENCE + "\nA second line that nobody else has, number one."),
-        (3, SENTENCE.replace("seven", "eight") + "\nSomething else entirely is written in this line here."),
+        (3, SENTENCE.replace("seven", "sevem") + "\nSomething else entirely is written in this line here."),
         (4, None),
         (5, ""),
         (6, " \n\t \n"),
