@@ -382,11 +382,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     groups = scratch.cut(components(links, scratch))
     of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_group"))
     open_pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
-    links = links.unionByName(scratch.cut(_confirm(open_pairs, sets, percent)))
-    groups = scratch.cut(components(links, scratch))
+    # later rounds start from the stars of the groups, not from all links
+    stars = lambda found: found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    groups = scratch.cut(components(stars(groups).unionByName(_confirm(open_pairs, sets, percent)), scratch))
     hidden = scratch.cut(_still_apart(leaf_rows, groups, classes, pairs, percent / 100))
     if hidden.limit(1).count():
-        groups = components(links.unionByName(_confirm(hidden, sets, percent)), scratch)
+        groups = components(stars(groups).unionByName(_confirm(hidden, sets, percent)), scratch)
     classed = signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "id"), "digest", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return classed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
