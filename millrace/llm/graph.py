@@ -36,5 +36,20 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(u.alias("node"), v.alias("component")).unionByName(now.select(v.alias("node"), v.alias("component")).distinct())
 
 
+def cross_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Deal the members (node, id, group) of nodes with several groups to pairs of blocks of about ``block`` members:
+    (node, low, high, own, id, group). Two members of different groups of a node meet in exactly one (low, high), one of
+    them with own = low and the other with own = high. The largest group's blocks only meet those of the other groups."""
+    sizes = members.groupBy("node", "group").agg(F.count("*").alias("n"))
+    nodes = sizes.groupBy("node").agg(F.max(F.struct("n", "group")).alias("main"), F.sum("n").alias("total")).filter(F.col("main.n") < F.col("total"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    nodes = nodes.select("node", F.col("main.group").alias("main"), blocks(F.col("main.n")).alias("of_main"), blocks(F.col("total") - F.col("main.n")).alias("of_rest"))
+    in_main, number = F.col("group") == F.col("main"), F.xxhash64("id", F.lit(5))
+    own = F.when(in_main, F.col("of_rest") + F.pmod(number, F.col("of_main"))).otherwise(F.pmod(number, F.col("of_rest"))).cast("int")
+    last = F.when(in_main, F.col("of_rest")).otherwise(F.col("of_rest") + F.col("of_main")) - 1
+    dealt = members.join(nodes, "node").select("node", "id", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return dealt.select("node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "group")
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())

@@ -4,11 +4,12 @@ A line is compared in lower case without surrounding blanks, as its set of ten-c
 ``MIN_CHARS`` characters are left alone. One scan gives each line a 128-bit fingerprint; a second explodes shingle
 positions and keeps, by fingerprint, the least value of each hash (aggregated before the shuffle, so copies of a line
 cost one row). Bands of minima make buckets; every line of a bucket is compared with the bucket's least and greatest
-line, exactly, on full shingle sets. Links go through union-find; the first line of each component, by doc_id and line
-number, stays.
+line, exactly, on full shingle sets, and links go through union-find. In buckets whose lines are then in more than one
+group, all pairs of different groups are compared the same way, block against block. The first line of each component,
+by doc_id and line number, stays.
 
 Recall: with 7 bands of 3 minima a pair of similarity 0.8 shares a bucket with probability 0.991, one of 0.9 with
-0.9999. Buckets are never expanded into pairs and never held in one task.
+0.9999; all pairs of a bucket are compared or joined already. No bucket is held in one task.
 
 Rows: null and empty texts have no lines to compare. Lines of a null doc_id come after all others. Rows that repeat a
 doc_id count as one document: equal line numbers are the same place. An empty table gives an empty one; other columns
@@ -21,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch
-from millrace.llm.graph import components
+from millrace.llm.graph import components, cross_blocks
 
 SHINGLE, MIN_CHARS, BANDS, ROWS = 10, 20, 7, 3
 #: Shingle positions that one exploded row covers.
 UNROLL = 4
 #: Most fingerprints of lines to confirm that are broadcast.
 BROADCAST_KEYS = 2_000_000
+#: Lines of a bucket that are compared at once with as many others.
+BLOCK = 256
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -52,21 +55,41 @@ def _signatures(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFr
     return hashed.groupBy("k1").agg(*least)
 
 
-def _candidate_pairs(signed: DataFrame, scratch: Scratch, bands: int, rows: int) -> DataFrame:
+def _buckets(signed: DataFrame, scratch: Scratch, bands: int, rows: int) -> DataFrame:
+    """(band, k1, low, high, n): the members of buckets of two or more lines, the bucket's least and greatest one and its size."""
     keys = [F.xxhash64(F.lit(j), *[F.col(f"m{j * rows + r}") for r in range(rows)]) for j in range(bands)]
     banded = scratch.cut(signed.select("k1", F.explode(F.array(*keys)).alias("band")), "none")
-    shared = banded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low < high")
-    met = banded.join(shared, "band")
+    shared = banded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count("*").alias("n")).filter("low < high")
+    return scratch.cut(banded.join(shared, "band").select("band", "k1", "low", "high", "n"))
+
+
+def _star_pairs(met: DataFrame) -> DataFrame:
+    """Pairs (u < v) of each line with the least and the greatest one of its buckets."""
     return met.select("k1", F.explode(F.array("low", "high")).alias("other")).filter("k1 != other").select(F.least("k1", "other").alias("u"), F.greatest("k1", "other").alias("v")).distinct()
 
 
-def _confirm(pairs: DataFrame, lines: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
-    """Links among the pairs: 100 * intersection >= percent * union of the full shingle sets."""
+def _other_pairs(met: DataFrame, groups: DataFrame, tried: DataFrame, scratch: Scratch) -> DataFrame:
+    """All other pairs (u < v) of buckets whose lines the groups haven't joined, block against block."""
+    # the stars hold every pair of three lines
+    members = met.filter("n > 3").select(F.col("band").alias("node"), F.col("k1").alias("id")).join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id", "left")
+    members = scratch.cut(members.select("node", "id", F.coalesce("group", "id").alias("group")))
+    dealt = scratch.cut(cross_blocks(members, BLOCK))
+    side = lambda end, key: dealt.filter(F.col("own") == F.col(end)).select("node", "low", "high", F.col("id").alias(key), F.col("group").alias(f"{key}_group"))
+    pairs = side("low", "a").join(side("high", "b"), ["node", "low", "high"]).filter("a_group != b_group AND (low < high OR a < b)")
+    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+
+
+def _texts(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k1, norm) of the lines in the pairs."""
     wanted = scratch.cut(pairs.select(F.explode(F.array("u", "v")).alias("k1")).distinct())
     # fingerprints of 8 bytes: broadcast below a checked number of them, so that the lines needn't be shuffled
     small = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     texts = lines.select(_first_key().alias("k1"), "norm").join(F.broadcast(wanted) if small else wanted, "k1", "left_semi").distinct()
-    texts = scratch.cut(texts)
+    return scratch.cut(texts)
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links among the pairs: 100 * intersection >= percent * union of the full shingle sets."""
     side = lambda key, name: texts.select(F.col("k1").alias(key), F.col("norm").alias(name))
     met = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
     grams = lambda name: F.array_distinct(F.expr(f"regexp_extract_all({name}, '(?s)(?=(.{{{shingle}}}))', 1)"))
@@ -85,9 +108,14 @@ def line_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80, min_
     scratch = Scratch(docs.sparkSession, "lines")
     lines = _lines(docs, min_chars)
     places = scratch.cut(lines.select("doc_id", "line_no", _first_key().alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2")))
-    pairs = scratch.cut(_candidate_pairs(_signatures(lines, shingle, bands, rows), scratch, bands, rows))
-    links = scratch.cut(_confirm(pairs, lines, scratch, shingle, percent))
-    groups = components(links, scratch)
+    met = _buckets(_signatures(lines, shingle, bands, rows), scratch, bands, rows)
+    pairs = scratch.cut(_star_pairs(met))
+    texts = _texts(pairs, lines, scratch)
+    groups = scratch.cut(components(scratch.cut(_confirm(pairs, texts, shingle, percent)), scratch))
+    more = scratch.cut(_other_pairs(met, groups, pairs, scratch))
+    links = scratch.cut(_confirm(more, texts, shingle, percent))
+    if links.limit(1).count():
+        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), scratch)
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
     grouped = places.join(groups.withColumnRenamed("node", "k1"), "k1", "left").select("doc_id", "line_no", order.alias("place"), F.coalesce("component", "k1").alias("g1"), F.when(F.col("component").isNull(), F.col("k2")).alias("g2"))
     grouped = grouped.withColumn("g2", F.coalesce("g2", F.lit(0)))

@@ -52,6 +52,21 @@ def test_lines_are_removed(spark, odd_docs, no_docs):
         line_groups(no_docs, min_chars=5)
 
 
+def test_similar_lines_in_a_crowded_bucket(spark):
+    # a template whose copies are alike below 0.8, and pairs of 0.8 and more among them
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    fixed = letters(300)
+    rows = []
+    for d in range(150):
+        own = fixed + letters(50)
+        rows += [(2 * d, own), (2 * d + 1, own[:-10] + letters(10))] if d % 5 == 0 else [(2 * d, own)]
+    want = expected_lines(rows)
+    assert sum(p != f for p, f in want.items()) == 30
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in line_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
 def test_documents_equal_brute_force(spark, small_docs):
     got = {r.doc_id: r for r in near_duplicates(small_docs, words=4).collect()}
     group, sets, _ = brute.near_groups([(r.doc_id, r.text) for r in small_docs.collect()], 4)
