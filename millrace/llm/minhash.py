@@ -5,7 +5,8 @@ of minwise tokens; token k of two sets agrees with the probability of their Jacc
 independent trees a node picks one or two token places (1/similarity on average), and its documents go to the child of
 their token there. Nodes of at most ``LEAF`` documents are compared exhaustively: by sketch on the first level, on full
 sets below. In larger nodes each document is compared with a center and branches on; what is left at the depth limit is
-compared in two random divisions into blocks of about ``LEAF``. Pairs that the sketches don't rule out are confirmed on
+compared in two random divisions into blocks of about ``LEAF``, and at the end, where its documents are in more than one
+group, block against block on full sets: all pairs of different groups. Pairs that the sketches don't rule out are confirmed on
 the full shingle sets: first each document's best pair, then all pairs that still join two groups, then pairs that a
 likelier one made needless in a leaf but whose documents confirmed links have not joined. Confirmed pairs go through
 union-find.
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, ship
-from millrace.llm.graph import components
+from millrace.llm.graph import components, cross_blocks
 
 #: Minwise tokens of a sketch, trees, deepest level, largest node that is compared exhaustively.
 TOKENS, TREES, DEPTH, LEAF = 64, 8, 4, 48
+#: Members of a large node that are compared at once with as many others; columns of their table of shingles.
+CROSS, COLUMNS = 64, 1 << 15
 #: Most ids of documents to confirm that are broadcast.
 BROADCAST_IDS = 2_000_000
 #: Bytes of text whose shingles are hashed together.
@@ -248,12 +251,13 @@ def _bounds(similarity: float) -> tuple[int, int]:
     return int(TOKENS * (similarity - 3.5 * spread)), round(TOKENS * (similarity + 1.5 * spread))
 
 
-def candidates(classes: DataFrame, scratch: Scratch, similarity: float, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(pairs, first leaves, deep leaves). Pairs (a < b, agree) of class ids that a node of the first level or a center
+def candidates(classes: DataFrame, scratch: Scratch, similarity: float, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """(pairs, first leaves, deep leaves, large nodes). Pairs (a < b, agree) of class ids that a node of the first level or a center
     puts together and the sketches don't rule out, without those that likelier pairs make needless; the rows (path,
-    block, id) of first-level leaves of three or more; and those of the leaves below large nodes, if there are any."""
+    block, id) of first-level leaves of three or more; those of the leaves below large nodes, if there are any; and the
+    rows (path, id) of nodes still large at the depth limit, if there are any."""
     least, likely = _bounds(similarity)
-    first, stars, deep = None, [], []
+    first, stars, deep, left = None, [], [], None
     frontier = _branch(classes.select("id", "sketch"), similarity, trees)
     for level in range(1, depth + 1):
         frontier = scratch.cut(frontier.distinct())
@@ -274,6 +278,7 @@ def candidates(classes: DataFrame, scratch: Scratch, similarity: float, trees: i
         star = members.groupBy("id").agg(F.min("center").alias("center")).select(F.col("center").bitwiseXOR(salt).alias("center"), "id")
         stars.append(star.filter("id <> center").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")))
         if level == depth:
+            left = members.select("path", "id")
             # two independent divisions into blocks, besides the star links
             number = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.ceil(F.col("n") / (leaf / 2))).cast("int") * 2 + k
             deep.append(members.select("path", F.explode(F.array(number(0), number(1))).alias("block"), "id"))
@@ -282,7 +287,24 @@ def candidates(classes: DataFrame, scratch: Scratch, similarity: float, trees: i
     out = scratch.cut(_compare(_leaves(first.withColumn("group", F.col("id")), classes), least, likely))
     if stars:
         out = out.unionByName(_agreeing(_union(stars).distinct(), classes, least))
-    return out.groupBy("a", "b").agg(F.max("agree").alias("agree")), first.filter("n > 2").drop("n"), _union(deep) if deep else None
+    return out.groupBy("a", "b").agg(F.max("agree").alias("agree")), first.filter("n > 2").drop("n"), _union(deep) if deep else None, left
+
+
+def _near(own: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union, by pair of shingle sets."""
+    sizes = np.array([len(x) for x in own])
+    values, places = np.unique(np.concatenate(own), return_inverse=True)
+    counts = np.bincount(places, minlength=len(values))
+    shared = counts[places] > 1
+    # columns of the shingles that more than one member has
+    column, row = (np.cumsum(counts > 1) - 1)[places[shared]], np.repeat(np.arange(len(own)), sizes)[shared]
+    common = np.zeros((len(own), len(own)), np.int64)
+    for at in range(0, int((counts > 1).sum()), COLUMNS):
+        inside = (column >= at) & (column < at + COLUMNS)
+        table = np.zeros((len(own), COLUMNS if column.max() >= at + COLUMNS else int(column.max()) + 1 - at), np.float32)
+        table[row[inside], column[inside] - at] = 1
+        common += np.rint(table @ table.T).astype(np.int64)
+    return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
 
 
 def _deep_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -294,18 +316,8 @@ def _deep_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             left, right = [], []
             for at in range(batch.num_rows):
                 members = sorted(batch.column(0)[at].as_py(), key=lambda m: m["id"])
-                own = [np.frombuffer(m["shingles"], np.uint64) for m in members]
-                sizes = np.array([len(x) for x in own])
-                values, places = np.unique(np.concatenate(own), return_inverse=True)
-                counts = np.bincount(places)
-                often = np.cumsum(counts > 1) - 1  # columns of the shingles that more than one member has
-                table = np.zeros((len(own), int(often[-1]) + 1 if len(values) else 0), np.float32)
-                row = np.repeat(np.arange(len(own)), sizes)
-                shared = counts[places] > 1
-                table[row[shared], often[places[shared]]] = 1
-                common = np.rint(table @ table.T)
-                near = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-                joined = np.arange(len(own))
+                near = _near([np.frombuffer(m["shingles"], np.uint64) for m in members], percent)
+                joined = np.arange(len(members))
                 for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
                     if joined[i] != joined[j]:
                         joined[joined == joined[j]] = joined[i]
@@ -317,6 +329,38 @@ def _deep_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.select("members").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def _cross_links(rows: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different groups in nodes (path, id) of any size: all such pairs of a node are compared on
+    full sets, block against block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for at in range(batch.num_rows):
+                members = batch.column(0)[at].as_py()
+                group = np.array([m["group"] for m in members])
+                own = np.array([m["own"] for m in members])
+                # the largest group's block is dealt to this pair of blocks only for the others' sake, and so may be alone
+                wanted = np.triu(group[:, None] != group[None, :], 1)
+                if own.min() < own.max():
+                    wanted &= own[:, None] != own[None, :]
+                if not wanted.any():
+                    continue
+                near = _near([np.frombuffer(m["shingles"], np.uint64) for m in members], percent) & wanted
+                joined = {g: g for g in group.tolist()}
+                for i, j in zip(*np.nonzero(near), strict=True):
+                    x, y = joined[int(group[i])], joined[int(group[j])]
+                    if x != y:
+                        joined = {g: x if to == y else to for g, to in joined.items()}
+                        left.append(members[i]["id"])
+                        right.append(members[j]["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
+
+    named = rows.join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id", "left").select(F.col("path").alias("node"), "id", F.coalesce("group", "id").alias("group"))
+    dealt = cross_blocks(named, CROSS).join(sets, "id").groupBy("node", "low", "high").agg(F.collect_list(F.struct("id", "group", "own", "shingles")).alias("members"))
+    return dealt.select("members").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:
@@ -370,7 +414,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(spark, "minhash")
     signed = scratch.cut(signatures(docs, words))
     classes = scratch.cut(signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest", "sketch").agg(F.min("doc_id").alias("id")))
-    pairs, leaf_rows, deep = candidates(classes, scratch, percent / 100)
+    pairs, leaf_rows, deep, left = candidates(classes, scratch, percent / 100)
     pairs = scratch.cut(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     ids = scratch.cut((ids if deep is None else ids.unionByName(deep.select("id"))).distinct())
@@ -387,7 +431,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     groups = scratch.cut(components(stars(groups).unionByName(_confirm(open_pairs, sets, percent)), scratch))
     hidden = scratch.cut(_still_apart(leaf_rows, groups, classes, pairs, percent / 100))
     if hidden.limit(1).count():
-        groups = components(stars(groups).unionByName(_confirm(hidden, sets, percent)), scratch)
+        groups = scratch.cut(components(stars(groups).unionByName(_confirm(hidden, sets, percent)), scratch))
+    if left is not None:
+        crossing = scratch.cut(_cross_links(left, groups, sets, percent))
+        if crossing.limit(1).count():
+            groups = components(stars(groups).unionByName(crossing), scratch)
     classed = signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "id"), "digest", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return classed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

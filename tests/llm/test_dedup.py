@@ -90,6 +90,24 @@ def test_a_large_group_of_near_copies(spark):
     assert got == group
 
 
+def test_similar_documents_in_a_large_family(spark):
+    # a template whose copies are alike below 0.8, and pairs of 0.8 and more among them
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    fixed = words(183)
+    rows = []
+    for d in range(2000):
+        own = fixed + words(27)
+        rows.append((2 * d, " ".join(own)))
+        if d % 25 == 0:
+            rows.append((2 * d + 1, " ".join([*own[:-21], *words(21)])))
+    x, y, z = (brute.word_shingles(t, 4) for _, t in rows[:3])
+    assert len(x & y) >= 0.8 * len(x | y)
+    assert len(x & z) < 0.8 * len(x | z)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=4).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in rows}
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     got = {}
     for r in near_duplicates(odd_docs).collect():
