@@ -246,9 +246,9 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
 
 
 def _bounds(similarity: float) -> tuple[int, int]:
-    """Equal tokens that rule a pair out below (3.5 deviations), and that make a link likely (1.5 above)."""
+    """Equal tokens that rule a pair out below (4.5 deviations), and that make a link likely (1.5 above)."""
     spread = (similarity * (1 - similarity) / TOKENS) ** 0.5
-    return int(TOKENS * (similarity - 3.5 * spread)), round(TOKENS * (similarity + 1.5 * spread))
+    return int(TOKENS * (similarity - 4.5 * spread)), round(TOKENS * (similarity + 1.5 * spread))
 
 
 def candidates(classes: DataFrame, scratch: Scratch, similarity: float, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import brute
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 from conftest import SENTENCE
 
+from millrace.llm import minhash
 from millrace.llm.common import Scratch
 from millrace.llm.embeddings import near_vectors
 from millrace.llm.graph import components
@@ -108,6 +110,11 @@ def test_similar_documents_in_a_large_family(spark):
     assert got == {d: d // 2 * 2 for d, _ in rows}
 
 
+def test_sketches_rarely_rule_out_a_pair_at_the_threshold():
+    least, _ = minhash._bounds(0.8)  # noqa: SLF001
+    assert sum(math.comb(minhash.TOKENS, k) * 0.8**k * 0.2 ** (minhash.TOKENS - k) for k in range(least)) < 1e-5
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     got = {}
     for r in near_duplicates(odd_docs).collect():
