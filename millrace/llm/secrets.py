@@ -3,7 +3,8 @@
 Two kinds of first-order character models are trained from labelled samples: one for each alphabet of random strings
 (hexadecimal, lower-case with digits, base-32, base-64) and one for ordinary identifiers. A token of 20 or more
 characters is a secret if the best random model's log-likelihood ratio against the ordinary model, by character,
-reaches the threshold. Spans of the patterns always stay; a model span that overlaps one is left out.
+reaches the threshold; in others of 16 or more the parts are secrets whose ratio does, so that words before a secret
+don't hide it. Spans of the patterns always stay; a model span that overlaps one is left out.
 
 Spans are code points, end exclusive, over the whole text. A null text counts as empty; repeated rows give equal rows,
 an empty table gives an empty one, extra columns pass through ``scan`` untouched, but for those of its own names.
@@ -33,12 +34,14 @@ KINDS = ["assign", "access", "hex", "random"]
 
 _NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 #: Log-likelihood ratio by character from which a token is a secret.
 THRESHOLD = 1.5
 #: Samples by class and alphabet from which the default models are trained.
 SAMPLES = 3000
+#: Least characters of a token, of one that is scored as a whole, and of a random part.
+LEAST_TOKEN, LEAST_WHOLE, LEAST_RANDOM = 16, 20, 12
 
 _WORDS = (
     "get set user name account value index count list item table column row key map data file path open close read write load save "
@@ -104,6 +107,45 @@ def ratio(token: str, models: dict[str, dict[str, float]]) -> float:
     return (best - ordinary) / len(token)
 
 
+def segment(token: str, models: dict[str, dict[str, float]], threshold: float = THRESHOLD) -> tuple[int, int] | None:
+    """Start and end of the part of the token that is likeliest random: over all models, the part with the greatest sum of
+    log ratios less half the threshold, if its mean reaches the threshold and it has LEAST_RANDOM characters or more."""
+    ordinary = models["ordinary"]
+    pairs = [a + b for a, b in zip("^" + token, token, strict=False)]
+    plain = [ordinary[p] for p in pairs]
+    best, found = 0.0, None
+    for label, own in models.items():
+        if label == "ordinary":
+            continue
+        ratios = [own[p] - q for p, q in zip(pairs, plain, strict=True)]
+        total, start, most, part = 0.0, 0, 0.0, (0, 0)
+        for i, r in enumerate(ratios):
+            if total <= 0:
+                total, start = 0.0, i
+            total += r - threshold / 2
+            if total > most:
+                most, part = total, (start, i + 1)
+        n = part[1] - part[0]
+        if most > best and n >= LEAST_RANDOM and sum(ratios[part[0] : part[1]]) >= threshold * n:
+            best, found = most, part
+    return found
+
+
+def random_parts(token: str, models: dict[str, dict[str, float]], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Starts and ends of the secrets in a token: all of it, or its random parts, widened to the next = or /."""
+    if len(token) < LEAST_TOKEN:
+        return []
+    if len(token) >= LEAST_WHOLE and ratio(token, models) >= threshold:
+        return [(0, len(token))]
+    part = segment(token, models, threshold)
+    if part is None:
+        return []
+    start = max(token.rfind("=", 0, part[0]), token.rfind("/", 0, part[0])) + 1
+    end = min((at for at in (token.find("=", part[1]), token.find("/", part[1])) if at >= 0), default=len(token))
+    before, after = random_parts(token[:start], models, threshold), random_parts(token[end:], models, threshold)
+    return [*before, (start, end), *((end + a, end + b) for a, b in after)]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place, end) of the patterns' matches."""
     found = []
@@ -123,8 +165,7 @@ def model_spans(text: str, base: list[tuple[int, int, int]], models: dict, thres
             at += 1
         if any(b[0] < m.end() and b[2] > m.start() for b in base[at:]):
             continue
-        if ratio(token, models) >= threshold:
-            found.append((m.start(), 3, m.end()))
+        found += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(token, models, threshold)]
     return found
 
 

@@ -145,6 +145,20 @@ def test_random_strings_and_identifiers():
     assert secrets.redacted("abcdef", [(0, 0, 4), (2, 2, 5)]) == "[SECRET]f"
 
 
+def test_secrets_behind_words():
+    models = secrets.train(secrets.labelled_samples())
+    rng = random.Random(78)
+    for words in ("", "session_token_value=", "/api/v1/user/session/", "/release/version/image/user/account/"):
+        for length, least in ((18, 0.9), (24, 0.99)):
+            found = 0
+            for _ in range(200):
+                text = f"see {words}{''.join(rng.choices(secrets.RANDOM_ALPHABETS[3][:62], k=length))} end"
+                found += any(s <= 4 + len(words) and e == len(text) - 4 for s, _, e in secrets.model_spans(text, [], models))
+            assert found >= least * 200, (words, length, found)
+    plain = [t for label, t in secrets.labelled_samples(seed=99) if label == "ordinary"]
+    assert sum(bool(secrets.model_spans(t, [], models)) for t in plain) <= 0.01 * len(plain)
+
+
 def test_media(odd_docs, rows, no_docs, small_docs):
     for docs, plain in ((odd_docs, rows), (small_docs, [(r.doc_id, r.text) for r in small_docs.collect()])):
         got = sorted(media.media_report(docs).collect(), key=str)
