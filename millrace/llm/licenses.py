@@ -5,7 +5,9 @@ known notices below (with words dropped, swapped and added) and of ordinary ones
 paragraphs, and its unknown class takes every paragraph whose best family stays under the calibrated probability. A
 prediction is confirmed by comparing the paragraph with its family's notices: the share of a notice's bigrams that it has.
 
-Scoring: a paragraph is a line of the text. Only paragraphs with two or more different words of the notices can be
+Scoring: a paragraph is a line of the text, or some adjacent lines joined (``WINDOWS``), as notices are wrapped in source
+files. Joined lines count only where they are confirmed; of paragraphs that overlap a single line stays, then the
+one that has most of a notice. Only paragraphs with two or more different words of the notices can be
 predicted at all; their n-grams meet the weights, a table of bounded size, in a broadcast join and are summed.
 
 Rows: null and empty texts have no paragraphs. In the report, rows that share a doc_id (a null one too) count as one
@@ -25,6 +27,8 @@ from millrace.llm.common import Scratch
 
 #: Confirmed from this share of a notice's bigrams.
 COVER = 0.6
+#: Lines of a paragraph.
+WINDOWS = (1, 2, 3, 4, 6, 8)
 #: Made paragraphs by family, and ordinary ones.
 SAMPLES, ORDINARY = 160, 3000
 #: Share of held-out ordinary paragraphs that may pass the calibrated probability.
@@ -160,19 +164,27 @@ def default_model() -> Classifier:
 
 
 def license_paragraphs(docs: DataFrame, model: Classifier | None = None, cover: float = COVER) -> DataFrame:
-    """Paragraphs with a known family: row (of the input), doc_id, paragraph, family, probability, cover, confirmed;
+    """Paragraphs with a known family: row (of the input), doc_id, paragraph (its first line), lines, family, probability, cover, confirmed;
     those under the calibrated probability have the family ``unknown``."""
     spark = docs.sparkSession
     model = model or default_model()
     scratch = Scratch(spark, "licences")
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    every = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).withColumn("words", token_column("line"))
+    # in the array, so that no exploded row carries the whole text
+    window = lambda i, n: F.struct(i.alias("paragraph"), F.lit(n).alias("lines"), F.array_join(F.slice("parts", i + 1, F.lit(n)), "\n").alias("line"))
+    cuts = F.flatten(F.transform("parts", lambda x, i: F.filter(F.array(*[window(i, n) for n in WINDOWS]), lambda w: (w["lines"] == 1) | (F.trim(x) != "") & (i + w["lines"] <= F.size("parts")))))
+    every = rows.withColumn("parts", F.split("text", "\n")).select("row", "doc_id", F.explode(cuts).alias("w")).select("row", "doc_id", "w.*").withColumn("words", token_column("line"))
     known = F.array(*[F.lit(w) for w in model.words])
     # stored with a key of their own: later joins need no more than it
     likely = every.filter(F.size(F.array_intersect("words", known)) >= 2)
-    likely = scratch.cut(likely.select(F.concat_ws(":", "row", "paragraph").alias("key"), "row", "doc_id", "paragraph", "words"))
+    likely = scratch.cut(likely.select(F.concat_ws(":", "row", "paragraph", "lines").alias("key"), "row", "doc_id", "paragraph", "lines", "words"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
     likely = likely.withColumn("bigrams", F.when(F.size("words") > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>")))
+    # joined lines count only if confirmed, so those that can't be needn't be scored
+    noticed = [[g for g in grams(tokens(n)) if " " in g] for own in NOTICES.values() for n in own]
+    fewest = min(int(np.ceil(cover * len(own))) for own in noticed)
+    within = F.array(*[F.lit(g) for g in sorted({g for own in noticed for g in own})])
+    likely = scratch.cut(likely.filter((F.col("lines") == 1) | (F.size(F.array_intersect("bigrams", within)) >= fewest)))
     names = ["none", *NOTICES]
     table = spark.createDataFrame([(g, *w) for g, w in zip(model.vocabulary, model.weights.tolist(), strict=True)], "gram string, " + ", ".join(f"w{k} double" for k in range(len(names))))
     met = likely.select("key", F.explode(F.array_distinct(F.concat("words", "bigrams"))).alias("gram")).join(F.broadcast(table), "gram")
@@ -184,10 +196,20 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None, cover:
     best = F.greatest(*[F.struct((F.exp(v - top) / total).alias("p"), F.lit(name).alias("family")) for v, name in zip(logits[1:], names[1:], strict=True)])
     scored = sums.select("key", best.alias("best")).select("key", F.col("best.p").alias("probability"), F.when(F.col("best.p") >= model.least, F.col("best.family")).otherwise("unknown").alias("family"))
     notices = spark.createDataFrame([(f, [g for g in grams(tokens(n)) if " " in g]) for f, own in NOTICES.items() for n in own], "family string, notice array<string>")
-    found = likely.select("key", "row", "doc_id", "paragraph", "bigrams").join(scored, "key")
+    found = likely.select("key", "row", "doc_id", "paragraph", "lines", "bigrams").join(scored, "key")
     share = F.size(F.array_intersect("bigrams", "notice")) / F.size("notice")
-    compared = found.join(F.broadcast(notices), "family", "left").groupBy("key", "row", "doc_id", "paragraph", "family", "probability").agg(F.coalesce(F.max(share), F.lit(0.0)).alias("cover"))
-    return compared.select("row", "doc_id", "paragraph", "family", "probability", "cover", (F.col("cover") >= cover).alias("confirmed"))
+    compared = found.join(F.broadcast(notices), "family", "left").groupBy("key", "row", "doc_id", "paragraph", "lines", "family", "probability").agg(F.coalesce(F.max(share), F.lit(0.0)).alias("cover"))
+    compared = scratch.cut(compared.select("row", "doc_id", "paragraph", "lines", "family", "probability", "cover", (F.col("cover") >= cover).alias("confirmed")))
+    place = F.struct((F.col("lines") > 1).alias("joined"), (-F.col("cover")).alias("less"), "lines", "paragraph")
+    meet = lambda x, y: (x["paragraph"] < y["paragraph"] + y["lines"]) & (y["paragraph"] < x["paragraph"] + x["lines"])
+    sure = compared.filter("confirmed").groupBy("row").agg(F.array_sort(F.collect_list(place)).alias("all"))
+    none = F.array().cast("array<struct<joined:boolean,less:double,lines:int,paragraph:int>>")
+    chosen = sure.select("row", F.aggregate("all", none, lambda got, x: F.when(F.exists(got, lambda y: meet(x, y)), got).otherwise(F.concat(got, F.array(x)))).alias("chosen"))
+    met = compared.join(chosen, "row", "left").withColumn("chosen", F.coalesce("chosen", none))
+    here = F.struct("paragraph", "lines")
+    own = F.exists("chosen", lambda y: (y["paragraph"] == F.col("paragraph")) & (y["lines"] == F.col("lines")))
+    stays = F.when(F.col("confirmed"), own).otherwise((F.col("lines") == 1) & ~F.exists("chosen", lambda y: meet(here, y)))
+    return met.filter(stays).select("row", "doc_id", "paragraph", "lines", "family", "probability", "cover", "confirmed")
 
 
 def license_report(docs: DataFrame, model: Classifier | None = None) -> DataFrame:

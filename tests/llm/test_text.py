@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -235,6 +236,19 @@ def test_licenses(spark, odd_docs, rows, no_docs):
     assert licenses.license_report(no_docs).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    notices = [(f, n) for f, own in licenses.NOTICES.items() for n in own if len(n) > 140]
+    rows, want = [], []
+    for width in (40, 60, 75):
+        for mark in ("", "# ", " * "):
+            for f, n in notices:
+                lines = textwrap.wrap(n, width)
+                rows.append((len(rows), "\n".join(["import os", "", *[mark + x for x in lines], "", "def run():", "    return 1"])))
+                want.append(f)
+    got = {r.doc_id: r for r in licenses.license_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i].families for i in range(len(rows))] == want
+
+
 def test_quality_held_out(spark, odd_docs, rows, no_docs):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality.quality_report(docs, labels)
