@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Scratch
 
 MOST_ROUNDS = 60
+#: Links up to which a round's least neighbours (at most two rows a link, 16 bytes each) are broadcast.
+BROADCAST_LINKS = 500_000
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -16,6 +18,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     A round hangs each node's larger neighbours on its least neighbour (large star), then its smaller ones (small star).
     Edges shrink to stars around the least nodes in a logarithmic number of rounds; each round is written to the shared
     folder, so lineage stays short. Only two numbers a round reach the driver. Self-links and nulls are ignored.
+
+    A star's centre is one key for all its links. Below a checked number of links the least neighbours are broadcast, so
+    no key gathers anywhere; beyond it they are written first, so that both sides of the join are plain shuffles and
+    adaptive execution can split the centre's side.
     """
     u, v = F.col("u"), F.col("v")
     now = scratch.cut(edges.filter(u != v).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -23,27 +29,36 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if print_now == old:
             break
+        small, used = print_now[0] <= BROADCAST_LINKS, []
+
+        def beside(least: DataFrame, small: bool = small, used: list = used) -> DataFrame:
+            if small:
+                return F.broadcast(least)
+            used.append(scratch.cut(least))
+            return used[-1]
+
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(u.alias("u"), F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter(u != v).distinct()
-        made = scratch.cut(small)
-        scratch.drop(now)
+        least = beside(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = scratch.cut(both.filter(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).distinct())
+        least = beside(large.groupBy("u").agg(F.min("v").alias("m")))
+        hung = large.join(least, "u").select(F.explode(F.array(F.struct(u.alias("u"), F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter(u != v).distinct()
+        made = scratch.cut(hung)
+        scratch.drop(now, large, *used)
         now, old, print_now = made, print_now, _fingerprint(made)
     else:
         raise RuntimeError("components did not settle")
     return now.select(u.alias("node"), v.alias("component")).unionByName(now.select(v.alias("node"), v.alias("component")).distinct())
 
 
-def cross_blocks(members: DataFrame, block: int) -> DataFrame:
-    """Deal the members (node, id, group) of nodes with several groups to pairs of blocks of about ``block`` members:
-    (node, low, high, own, id, group). Two members of different groups of a node meet in exactly one (low, high), one of
-    them with own = low and the other with own = high. The largest group's blocks only meet those of the other groups."""
-    sizes = members.groupBy("node", "group").agg(F.count("*").alias("n"))
-    nodes = sizes.groupBy("node").agg(F.max(F.struct("n", "group")).alias("main"), F.sum("n").alias("total")).filter(F.col("main.n") < F.col("total"))
-    blocks = lambda n: F.ceil(n / block).cast("int")
-    nodes = nodes.select("node", F.col("main.group").alias("main"), blocks(F.col("main.n")).alias("of_main"), blocks(F.col("total") - F.col("main.n")).alias("of_rest"))
+def cross_blocks(members: DataFrame, block: int, block_size: int) -> DataFrame:
+    """Deal the members (node, id, group, size) of nodes with several groups to pairs of blocks of about ``block`` members
+    and at most about ``block_size`` in size: (node, low, high, own, id, group). Two members of different groups of a node
+    meet in exactly one (low, high), one of them with own = low and the other with own = high (or both in low = high).
+    The largest group's blocks only meet those of the other groups."""
+    sizes = members.groupBy("node", "group").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    nodes = sizes.groupBy("node").agg(F.max(F.struct("n", "group", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size")).filter(F.col("main.n") < F.col("n"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / block_size)).cast("int")
+    nodes = nodes.select("node", F.col("main.group").alias("main"), blocks(F.col("main.n"), F.col("main.size")).alias("of_main"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("of_rest"))
     in_main, number = F.col("group") == F.col("main"), F.xxhash64("id", F.lit(5))
     own = F.when(in_main, F.col("of_rest") + F.pmod(number, F.col("of_main"))).otherwise(F.pmod(number, F.col("of_rest"))).cast("int")
     last = F.when(in_main, F.col("of_rest")).otherwise(F.col("of_rest") + F.col("of_main")) - 1

@@ -1,144 +1,200 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-A line is compared in lower case without surrounding blanks, as its set of ten-character shingles. Lines of fewer than
-``MIN_CHARS`` characters are left alone. One scan gives each line a 128-bit fingerprint; a second explodes shingle
-positions and keeps, by fingerprint, the least value of each hash (aggregated before the shuffle, so copies of a line
-cost one row). Bands of minima make buckets; every line of a bucket is compared with the bucket's least and greatest
-line, exactly, on full shingle sets, and links go through union-find. In buckets whose lines are then in more than one
-group, all pairs of different groups are compared the same way, block against block. The first line of each component,
-by doc_id and line number, stays.
-
-Recall: with 7 bands of 3 minima a pair of similarity 0.8 shares a bucket with probability 0.991, one of 0.9 with
-0.9999; all pairs of a bucket are compared or joined already. No bucket is held in one task.
-
-Rows: null and empty texts have no lines to compare. Lines of a null doc_id come after all others. Rows that repeat a
-doc_id count as one document: equal line numbers are the same place. An empty table gives an empty one; other columns
-are not read by ``line_groups`` and pass through ``dedup_lines``.
+A line is compared in lower case without surrounding blanks, as its set of ten-character shingles; a shorter line is one
+shingle. Equal lines (equal 128-bit fingerprints) are one class.
+
+1. One scan explodes shingle positions and keeps, by fingerprint, the least value of nine hashes (aggregated before the
+   shuffle, so copies of a line cost one row). The nine minima are the points of the affine plane of order three, and its
+   twelve lines of three points are the bands: any five equal minima hold a whole band.
+2. Classes with an equal band are in one bucket. A bucket of two is a pair; in a larger one each class is paired with the
+   class that the most others meet, likely the middle of a family. Pairs are compared exactly, on full shingle sets, and
+   links go through union-find.
+3. In buckets whose classes are still in more than one group, all classes of different groups are compared the same way,
+   block against block, each pair in the first bucket that it shares. So all that share a bucket are compared or joined.
+4. The first line of each component, by doc_id and line number, stays.
+
+Recall: a pair of similarity 0.8 shares a bucket with probability 0.990, one of 0.9 with 0.9996. Buckets are never held
+in one task; a block has at most ``BLOCK`` lines or ``BLOCK_CHARS`` characters, or one longer line. Work in a family of
+lines that are alike below the threshold grows with the square of its number of groups.
+
+Rows: null and empty texts have no lines. Lines of a null doc_id come after all others. Rows of equal doc_id (nulls too)
+and text count as one; rows of equal doc_id and different texts are told apart by their texts' hashes. Ties go to the
+smaller hash. A line needs memory of some 30 bytes a character where it is compared. An empty table gives an empty one;
+other columns are not read by ``line_groups`` and pass through ``dedup_lines``, whatever their names.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch
 from millrace.llm.graph import components, cross_blocks
 
-SHINGLE, MIN_CHARS, BANDS, ROWS = 10, 20, 7, 3
+SHINGLE, MIN_CHARS = 10, 20
+#: The lines of the affine plane of order three: minima of each band.
+BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6))
 #: Shingle positions that one exploded row covers.
 UNROLL = 4
-#: Most fingerprints of lines to confirm that are broadcast.
-BROADCAST_KEYS = 2_000_000
-#: Lines of a bucket that are compared at once with as many others.
-BLOCK = 256
+#: Most rows of at most some 60 bytes (fingerprints, ids, places) that are broadcast.
+BROADCAST_KEYS = 500_000
+#: Lines of a bucket, and their characters, that are compared at once with as many others.
+BLOCK, BLOCK_CHARS = 512, 1 << 18
+
+_BITS = 1 << 30  # of a text's hash, to tell apart rows of one doc_id
+_LAST = Decimal(1 << 63)  # in place of a null doc_id
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    every = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", F.lower(F.trim("line")).alias("norm"))
-    return every.filter(F.length("norm") >= min_chars)
+    """doc_id, line_no, the line as compared, its fingerprint k1 and k2, and the text's own, t1 and t2."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    every = texts.select("doc_id", "t1", "t2", "line_no", F.lower(F.trim("line")).alias("norm")).filter(F.length("norm") >= max(min_chars, 1))
+    return every.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(1), "norm")})
 
 
-def _first_key(norm: Column | str = "norm") -> Column:
-    return F.xxhash64(norm)
+def _small(frame: DataFrame) -> DataFrame:
+    """To be broadcast below a checked number of rows."""
+    return F.broadcast(frame) if frame.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else frame
 
 
-def _signatures(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """k1 and the minima m0, m1, ... A hash's order j is by exclusive or with a fixed number."""
+def _classes(lines: DataFrame, shingle: int) -> DataFrame:
+    """id, k1, k2, n (lines) and keys (of the bands) of the different lines. Hash j's order is by exclusive or with a fixed number."""
     width = 2 * shingle  # bytes; UTF-16 gives constant-time substrings
-    salts = [(0x9E3779B1 * (j + 1)) % (1 << 31) for j in range(bands * rows)]
-    coded = lines.select(_first_key().alias("k1"), F.encode("norm", "UTF-16BE").alias("b"))
-    at = coded.select("k1", "b", F.explode(F.expr(f"sequence(1, octet_length(b) - {width - 1}, {2 * UNROLL})")).alias("i"))
-    hashed = at.select("k1", "b", "i", F.expr(f"hash(substring(b, i, {width}))").alias("h0"))
+    minima = 1 + max(p for band in BANDS for p in band)
+    salts = [(0x9E3779B1 * (j + 1) & 0xFFFFFFFF) - (1 << 31) for j in range(minima)]
+    coded = lines.select("k1", "k2", F.encode("norm", "UTF-16BE").alias("b"))
+    at = coded.select("k1", "k2", "b", F.explode(F.expr(f"sequence(1, greatest(octet_length(b) - {width - 1}, 1), {2 * UNROLL})")).alias("i"))
+    hashed = at.select("k1", "k2", "b", "i", F.expr(f"hash(substring(b, i, {width}))").alias("h0"))
     more = [F.expr(f"if(i + {2 * j} <= octet_length(b) - {width - 1}, hash(substring(b, i + {2 * j}, {width})), h0)").alias(f"h{j}") for j in range(1, UNROLL)]
-    hashed = hashed.select("k1", "h0", *more)
+    hashed = hashed.select("k1", "k2", F.expr("if(i = 1, 1L, 0L)").alias("one"), "h0", *more)
     least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(s)) for j in range(UNROLL)])).alias(f"m{n}") for n, s in enumerate(salts)]
-    return hashed.groupBy("k1").agg(*least)
+    signed = hashed.groupBy("k1", "k2").agg(F.sum("one").alias("n"), *least)
+    keys = [F.xxhash64(F.lit(j), *[F.col(f"m{p}") for p in band]) for j, band in enumerate(BANDS)]
+    return signed.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", F.array(*keys).alias("keys"))
+
+
+def _members(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u < v): buckets of two, and each member of a larger bucket with its middle; members (node, id, earlier) of larger
+    buckets, with the keys of the bands before."""
+    banded = classes.select("id", F.explode("keys").alias("node"))
+    buckets = scratch.cut(banded.groupBy("node").agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count("*").alias("n")).filter("n > 1"))
+    crowded = _small(buckets.filter("n > 2").select("node", "n"))
+    placed = classes.select("id", "keys", F.posexplode("keys").alias("at", "node")).join(crowded, "node")
+    members = scratch.cut(placed.select("node", "id", "n", F.slice("keys", F.lit(1), F.col("at")).alias("earlier")))
+    met = members.groupBy("id").agg(F.sum("n").alias("met"))
+    middle = scratch.cut(members.select("node", "id").join(met, "id").groupBy("node").agg(F.max(F.struct("met", "id")).alias("m")).select("node", F.col("m.id").alias("middle")))
+    stars = members.select("node", "id").join(_small(middle), "node").filter("id <> middle").select(F.least("id", "middle").alias("u"), F.greatest("id", "middle").alias("v"))
+    return scratch.cut(buckets.filter("n = 2").select("u", "v").unionByName(stars).distinct()), members.select("node", "id", "earlier")
 
 
-def _buckets(signed: DataFrame, scratch: Scratch, bands: int, rows: int) -> DataFrame:
-    """(band, k1, low, high, n): the members of buckets of two or more lines, the bucket's least and greatest one and its size."""
-    keys = [F.xxhash64(F.lit(j), *[F.col(f"m{j * rows + r}") for r in range(rows)]) for j in range(bands)]
-    banded = scratch.cut(signed.select("k1", F.explode(F.array(*keys)).alias("band")), "none")
-    shared = banded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count("*").alias("n")).filter("low < high")
-    return scratch.cut(banded.join(shared, "band").select("band", "k1", "low", "high", "n"))
+def _place() -> Column:
+    """Lines in order: by doc_id, a null one last, line number and, to tell apart rows of one doc_id, the text's hash."""
+    doc = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(_LAST))
+    rest = F.col("line_no").cast("bigint") * _BITS + F.pmod("t1", F.lit(_BITS))
+    return (doc * F.lit(1 << 61).cast("decimal(19,0)") + rest.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
-def _star_pairs(met: DataFrame) -> DataFrame:
-    """Pairs (u < v) of each line with the least and the greatest one of its buckets."""
-    return met.select("k1", F.explode(F.array("low", "high")).alias("other")).filter("k1 != other").select(F.least("k1", "other").alias("u"), F.greatest("k1", "other").alias("v")).distinct()
+def _seen(lines: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, b (the line in UTF-32, where it is wanted) and first place of the classes that are wanted or have several lines."""
+    flagged = classes.select("id", "k1", "k2", "n").join(wanted.withColumn("wanted", F.lit(True)), "id", "left").filter("n > 1 OR wanted")
+    keys = _small(scratch.cut(flagged.select("id", "k1", "k2", F.coalesce("wanted", F.lit(False)).alias("wanted"))))
+    met = lines.select("k1", "k2", _place().alias("place"), "norm").join(keys, ["k1", "k2"])
+    seen = met.select("id", "place", F.when(F.col("wanted"), F.col("norm")).alias("norm")).groupBy("id", "norm").agg(F.min("place").alias("place"))
+    return scratch.cut(seen)
 
 
-def _other_pairs(met: DataFrame, groups: DataFrame, tried: DataFrame, scratch: Scratch) -> DataFrame:
-    """All other pairs (u < v) of buckets whose lines the groups haven't joined, block against block."""
-    # the stars hold every pair of three lines
-    members = met.filter("n > 3").select(F.col("band").alias("node"), F.col("k1").alias("id")).join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id", "left")
-    members = scratch.cut(members.select("node", "id", F.coalesce("group", "id").alias("group")))
-    dealt = scratch.cut(cross_blocks(members, BLOCK))
-    side = lambda end, key: dealt.filter(F.col("own") == F.col(end)).select("node", "low", "high", F.col("id").alias(key), F.col("group").alias(f"{key}_group"))
-    pairs = side("low", "a").join(side("high", "b"), ["node", "low", "high"]).filter("a_group != b_group AND (low < high OR a < b)")
-    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+def _grams(coded: str, shingle: int) -> str:
+    """SQL of the set of shingles of a line in UTF-32, as 64-bit hashes."""
+    return f"array_distinct(transform(sequence(1, greatest(octet_length({coded}) - {4 * shingle - 1}, 1), 4), i -> xxhash64(substring({coded}, i, {4 * shingle}))))"
 
 
-def _texts(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(k1, norm) of the lines in the pairs."""
-    wanted = scratch.cut(pairs.select(F.explode(F.array("u", "v")).alias("k1")).distinct())
-    # fingerprints of 8 bytes: broadcast below a checked number of them, so that the lines needn't be shuffled
-    small = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    texts = lines.select(_first_key().alias("k1"), "norm").join(F.broadcast(wanted) if small else wanted, "k1", "left_semi").distinct()
-    return scratch.cut(texts)
+def _near(x: str, y: str, percent: int) -> str:
+    """SQL of 100 * intersection >= percent * union, the sizes' ratio first."""
+    sizes = f"100 * least(size({x}), size({y})) >= {percent} * greatest(size({x}), size({y}))"
+    return f"{sizes} AND {100 + percent} * size(array_intersect({x}, {y})) >= {percent} * (size({x}) + size({y}))"
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links among the pairs: 100 * intersection >= percent * union of the full shingle sets."""
-    side = lambda key, name: texts.select(F.col("k1").alias(key), F.col("norm").alias(name))
+def _confirm(pairs: DataFrame, seen: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links among the pairs, on full shingle sets."""
+    side = lambda key, name: seen.select(F.col("id").alias(key), F.col("norm").alias(name))
     met = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
-    grams = lambda name: F.array_distinct(F.expr(f"regexp_extract_all({name}, '(?s)(?=(.{{{shingle}}}))', 1)"))
-    # the generator keeps the optimizer from copying the sets' expressions into the filter, once for each use
-    sets = met.select("u", "v", F.explode(F.array(F.struct(grams("x").alias("x"), grams("y").alias("y")))).alias("s"))
-    common = F.size(F.array_intersect("s.x", "s.y"))
-    # 100 c >= percent (x + y - c)
-    return sets.filter((100 + percent) * common >= percent * (F.size("s.x") + F.size("s.y"))).select("u", "v")
-
-
-def line_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """By line of at least ``min_chars``: doc_id, line_no, the first line of its component (first_doc_id,
-    first_line_no), the component's number of lines, and whether the line stays (kept)."""
-    if min_chars < shingle:
-        raise ValueError("lines shorter than a shingle can't be compared")
+    # the generators keep the optimizer from copying an expression into each of its uses
+    coded = met.select("u", "v", F.explode(F.array(F.struct(F.encode("x", "UTF-32").alias("x"), F.encode("y", "UTF-32").alias("y")))).alias("b")).select("u", "v", "b.*")
+    sets = coded.select("u", "v", F.explode(F.expr(f"array(struct({_grams('x', shingle)} AS x, {_grams('y', shingle)} AS y))")).alias("s"))
+    return sets.filter(_near("s.x", "s.y", percent)).select("u", "v")
+
+
+def _cross_links(members: DataFrame, groups: DataFrame, seen: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) between groups that share a bucket: each pair of their classes is compared in the first bucket it shares."""
+    texts = seen.filter("norm IS NOT NULL").select("id", "norm")
+    named = members.join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id", "left").join(texts.select("id", F.length("norm").alias("size")), "id")
+    named = scratch.cut(named.select("node", "id", F.coalesce("group", "id").alias("group"), "size", "earlier"))
+    dealt = cross_blocks(named.drop("earlier"), BLOCK, BLOCK_CHARS).join(named.select("node", "id", "earlier"), ["node", "id"]).join(texts, "id")
+    row = F.struct("group", F.when(F.col("low") != F.col("high"), F.col("own")).alias("own"), "earlier", F.encode("norm", "UTF-32").alias("b"))
+    blocks = dealt.groupBy("node", "low", "high").agg(F.collect_list(row).alias("all"))
+    # a block's sets are made once; the generator keeps them from being made again for each use
+    made = blocks.select(F.explode(F.expr(f"array(transform(all, m -> struct(m.group AS group, m.own AS own, m.earlier AS earlier, {_grams('m.b', shingle)} AS g)))")).alias("all"))
+    wanted = f"x.group < y.group AND (x.own IS NULL OR x.own <> y.own) AND NOT arrays_overlap(x.earlier, y.earlier) AND {_near('x.g', 'y.g', percent)}"
+    links = F.expr(f"array_distinct(flatten(transform(all, x -> transform(filter(all, y -> {wanted}), y -> struct(x.group AS u, y.group AS v)))))")
+    return made.select(F.explode(links).alias("l")).select("l.u", "l.v").distinct()
+
+
+def _placed(docs: DataFrame, shingle: int, percent: int, min_chars: int) -> DataFrame:
+    """By line: doc_id, t1, t2, line_no, first_doc_id, first_line_no, group_lines and kept."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = _lines(docs, min_chars)
-    places = scratch.cut(lines.select("doc_id", "line_no", _first_key().alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2")))
-    met = _buckets(_signatures(lines, shingle, bands, rows), scratch, bands, rows)
-    pairs = scratch.cut(_star_pairs(met))
-    texts = _texts(pairs, lines, scratch)
-    groups = scratch.cut(components(scratch.cut(_confirm(pairs, texts, shingle, percent)), scratch))
-    more = scratch.cut(_other_pairs(met, groups, pairs, scratch))
-    links = scratch.cut(_confirm(more, texts, shingle, percent))
+    classes = scratch.cut(_classes(lines, shingle))
+    pairs, members = _members(classes, scratch)
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    seen = _seen(lines, classes, wanted, scratch)
+    groups = scratch.cut(components(_confirm(pairs, seen, shingle, percent), scratch))
+    links = scratch.cut(_cross_links(members, groups, seen, scratch, shingle, percent))
     if links.limit(1).count():
         groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), scratch)
-    order = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
-    grouped = places.join(groups.withColumnRenamed("node", "k1"), "k1", "left").select("doc_id", "line_no", order.alias("place"), F.coalesce("component", "k1").alias("g1"), F.when(F.col("component").isNull(), F.col("k2")).alias("g2"))
-    grouped = grouped.withColumn("g2", F.coalesce("g2", F.lit(0)))
+    named = seen.select("id", "place").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").join(classes.select("id", "k1", "k2", "n"), "id")
+    named = scratch.cut(named.select("k1", "k2", "n", "place", F.coalesce("component", "id").alias("component")))
     # written, so that both sides of the join are shuffles of their own and a hot group's side can be split
-    first = scratch.cut(grouped.groupBy("g1", "g2").agg(F.min("place").alias("first"), F.count("*").alias("group_lines")))
-    met = grouped.join(first, ["g1", "g2"])
-    base = F.lit(1 << 31).cast("decimal(10,0)")
-    doc = F.floor(F.col("first") / base).cast("long")
+    whole = scratch.cut(named.groupBy("component").agg(F.min("place").alias("first"), F.sum("n").alias("group_lines")).filter("group_lines > 1"))
+    base, low = F.lit(1 << 61).cast("decimal(19,0)"), F.col("low")
+    doc = F.floor(F.col("first") / base).cast("decimal(19,0)")
+    first = named.join(whole, "component").select("k1", "k2", "group_lines", doc.alias("doc"), (F.col("first") - doc * base).cast("bigint").alias("low"))
+    first = first.select("k1", "k2", "group_lines", F.when(F.col("doc") != F.lit(_LAST), F.col("doc").cast("bigint")).alias("first_doc_id"), F.shiftright(low, 30).cast("int").alias("first_line_no"), F.pmod(low, F.lit(_BITS)).alias("tie"))
+    met = lines.drop("norm").join(_small(scratch.cut(first)), ["k1", "k2"], "left")
+    alone = F.col("group_lines").isNull()
+    kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")) & (F.pmod("t1", F.lit(_BITS)) == F.col("tie"))
     return met.select(
         "doc_id",
+        "t1",
+        "t2",
         "line_no",
-        F.when(doc != F.lit((1 << 63) - 1), doc).alias("first_doc_id"),
-        F.expr("cast(first - floor(first / cast(2147483648 as decimal(10,0))) * cast(2147483648 as decimal(10,0)) as int)").alias("first_line_no"),
-        "group_lines",
-        (F.col("place") == F.col("first")).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first_doc_id")).alias("first_doc_id"),
+        F.when(alone, F.col("line_no")).otherwise(F.col("first_line_no")).alias("first_line_no"),
+        F.coalesce("group_lines", F.lit(1)).alias("group_lines"),
+        (alone | kept).alias("kept"),
     )
 
 
-def dedup_lines(docs: DataFrame, **options: int) -> DataFrame:
-    """The documents without the lines that repeat an earlier one; a document that loses its last text goes."""
-    lost = line_groups(docs, **options).filter("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__lost"))
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["doc_id"]), "left").select(*[docs[c] for c in docs.columns], "__lost")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__lost", i)), "\n")
-    text = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(left)
-    out = joined.withColumn("text", text)
-    return out.filter(F.col("__lost").isNull() | (F.trim("text") != "")).drop("__lost")
+def line_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80, min_chars: int = MIN_CHARS) -> DataFrame:
+    """By line of at least ``min_chars`` (1 for all that aren't blank): doc_id, line_no, the first line of its component
+    (first_doc_id, first_line_no), the component's number of lines, and whether the line stays (kept)."""
+    return _placed(docs, shingle, percent, min_chars).drop("t1", "t2")
+
+
+def dedup_lines(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The documents without the lines that repeat an earlier one; a document that loses its last text goes. Lines of
+    fewer than ``min_chars`` characters stay: headings, brackets and the like repeat without being copies."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    lost = _placed(docs, shingle, percent, min_chars).filter("NOT kept").groupBy("doc_id", "t1", "t2").agg(F.collect_set("line_no").alias("lost"))
+    lost = scratch.cut(lost)
+    numbers = lost.agg(F.coalesce(F.sum(F.size("lost") + 8), F.lit(0))).first()[0]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    lost = lost.withColumnRenamed("doc_id", "own_id")
+    on = rows["doc_id"].eqNullSafe(lost["own_id"]) & (rows["t1"] == lost["t1"]) & (rows["t2"] == lost["t2"])
+    # four bytes a line: broadcast below a checked number of them, so that the texts needn't be shuffled
+    met = rows.join(F.broadcast(lost) if numbers <= 8 * BROADCAST_KEYS else lost, on, "left").select("row", "lost", F.split("row.text", "\n").alias("parts"))
+    left = F.expr("array_join(transform(array_except(sequence(0, size(parts) - 1), lost), i -> parts[i]), '\n')")
+    text = F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(left)
+    out = met.select("row", F.explode(F.filter(F.array(text), lambda t: F.col("lost").isNull() | (F.trim(t) != ""))).alias("text"))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

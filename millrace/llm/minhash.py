@@ -16,7 +16,8 @@ threshold with a probability over 0.999. Nodes are keys of narrow rows (path, id
 
 Rows: a null, empty or blank text has no shingles and links with nothing. A null doc_id gets its count, a null
 component and kept = true. Rows that share a doc_id count as one document with all their links. An empty table gives an
-empty one; extra columns are ignored.
+empty one; extra columns are ignored. Long texts are hashed in pieces; a document needs memory of 8 bytes a word for its
+set of shingles wherever it is confirmed, and some ten times that while the set is made.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ from millrace.llm.graph import components, cross_blocks
 
 #: Minwise tokens of a sketch, trees, deepest level, largest node that is compared exhaustively.
 TOKENS, TREES, DEPTH, LEAF = 64, 8, 4, 48
-#: Members of a large node that are compared at once with as many others; columns of their table of shingles.
-CROSS, COLUMNS = 64, 1 << 15
+#: Members of a large node, and their shingles, that are compared at once with as many others; columns of their table.
+CROSS, CROSS_SHINGLES, COLUMNS = 256, 1 << 19, 1 << 15
 #: Most ids of documents to confirm that are broadcast.
 BROADCAST_IDS = 2_000_000
-#: Bytes of text whose shingles are hashed together.
-CHUNK = 1 << 20
+#: Bytes of text whose words are hashed together.
+CHUNK = 1 << 18
 
 _MASK = (1 << 64) - 1
 
@@ -66,23 +67,50 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, np.uint64(base))
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+    """Powers of an odd number and of its inverse modulo 2**64; kept up to two chunks' length."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n if n > 2 * CHUNK else 2 * CHUNK, np.uint64(base))
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= 2 * CHUNK:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word of the texts in ``data`` begins, its 64-bit hash, and each text's first word (one more at the end).
 
-    ``data`` are UTF-8 bytes, text i being data[offsets[i]:offsets[i + 1]]; A-Z count as a-z.
+    ``data`` are UTF-8 bytes, text i being data[offsets[i]:offsets[i + 1]]; A-Z count as a-z. Long data are hashed in
+    pieces that end at a blank, so that only a longer word needs more memory.
     """
     size = len(data)
     if not size:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    if size > 2 * CHUNK:
+        starts, words, at = [], [], 0
+        while at < size:
+            end = look = min(at + CHUNK, size)
+            while look < size and not (found := np.flatnonzero(_SPACE[data[look : look + CHUNK]])).size:
+                look += CHUNK
+            end = end if end == size else look + int(found[0]) if look < size else size
+            if end - at > 2 * CHUNK:  # one long word
+                own = _hash_words(data[at:end], np.unique(np.clip(offsets, at, end)) - at)
+            else:
+                own = word_hashes(data[at:end], np.unique(np.clip(offsets, at, end)) - at)[:2]
+            starts.append(own[0] + at)
+            words.append(own[1])
+            at = end
+        first = np.concatenate(starts)
+        return first, np.concatenate(words), np.searchsorted(first, offsets)
+    starts, words = _hash_words(data, offsets)
+    return starts, words, np.searchsorted(starts, offsets)
+
+
+def _hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = len(data)
     with np.errstate(over="ignore"):
         letter = ~_SPACE[data]
         first = np.zeros(size + 1, bool)
@@ -94,7 +122,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         sums = np.cumsum(_LETTER[data] * power)
         word = sums[ends]
         word[starts > 0] -= sums[starts[starts > 0] - 1]
-        return starts, _mix(word * inverse[starts]), np.searchsorted(starts, offsets)
+        return starts, _mix(word * inverse[starts])
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,38 +223,76 @@ def _branch(rows: DataFrame, similarity: float, trees: int = 0) -> DataFrame:
     return rows.mapInArrow(run, "path bigint, id bigint")
 
 
+def _together(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys one after the other, ordered by id; no row holds a group."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "id")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of whole groups, and where each group begins (and one more): a batch's last group waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        every = pa.concat_batches([*held, batch]) if held else batch
+        names = [every.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = 1 + np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0))
+        if len(cuts):
+            yield every.slice(0, cuts[-1]), np.r_[0, cuts]
+            held = [every.slice(cuts[-1])]
+        else:
+            held = [every]
+    if held:
+        yield held[0], np.array([0, held[0].num_rows])
+
+
+def _numbers_of(column: pa.Array) -> list[np.ndarray]:
+    """The 64-bit numbers that each value of a binary column holds."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def _sketches_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)
+
+
 def _compare(leaves: DataFrame, least: int, likely: int, hidden: bool = False) -> DataFrame:
     """Pairs (a, b, agree) in leaf nodes with at least ``least`` equal tokens, best first. A pair with ``likely`` equal
     tokens or more joins its documents for the pairs after it, which then needn't come out. With ``hidden`` just those
     come out whose documents are nevertheless in different groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right, agree = [], [], []
-            for members in batch.column(0).to_pylist():
-                members.sort(key=lambda m: m["id"])
-                ids = [m["id"] for m in members]
-                tokens = np.frombuffer(b"".join(m["sketch"] for m in members), "<u4").reshape(len(ids), -1)
-                equal = np.array([(tokens == row).sum(axis=1) for row in tokens])
-                joined, group = np.arange(len(ids)), [m["group"] for m in members]
+        for rows, bounds in _groups(batches, ["path", "block"]):
+            ids, own, tokens = rows.column("id").to_numpy(), rows.column("group").to_numpy(), _sketches_of(rows.column("sketch"))
+            many = np.diff(bounds)
+            two = bounds[:-1][many == 2] if not hidden else bounds[:0]
+            equal = (tokens[two] == tokens[two + 1]).sum(axis=1)
+            left, right, agree = [ids[two[equal >= least]]], [ids[two[equal >= least] + 1]], [equal[equal >= least]]
+            for start, size in zip(bounds[:-1][many > 2].tolist(), many[many > 2].tolist(), strict=True):
+                part = tokens[start : start + size]
+                equal = np.array([(part == row).sum(axis=1) for row in part])
+                joined, group = np.arange(size), own[start : start + size]
                 pairs = [(-int(equal[i, j]), i, j) for i, j in zip(*np.nonzero(np.triu(equal >= least, 1)), strict=True)]
+                chosen = []
                 for n, i, j in sorted(pairs):
                     skipped = joined[i] == joined[j]
                     if not skipped and -n >= likely:
                         joined[joined == joined[j]] = joined[i]
                     if skipped == hidden and (not hidden or group[i] != group[j]):
-                        left.append(ids[i])
-                        right.append(ids[j])
-                        agree.append(-n)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(agree, pa.int32())], ["a", "b", "agree"])
+                        chosen.append((start + i, start + j, -n))
+                if chosen:
+                    i, j, n = np.array(chosen, np.int64).T
+                    left.append(ids[i])
+                    right.append(ids[j])
+                    agree.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(kind)) for x, kind in ((left, np.int64), (right, np.int64), (agree, np.int32))], ["a", "b", "agree"])
 
-    return leaves.select("members").mapInArrow(run, "a bigint, b bigint, agree int")
+    return leaves.mapInArrow(run, "a bigint, b bigint, agree int")
 
 
 def _leaves(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Leaf nodes with their members' sketches and groups; a leaf has a bounded number of members."""
+    """Rows of leaf nodes with their members' sketches and groups, node by node."""
     members = rows.join(classes.select("id", "sketch"), "id")
-    return members.groupBy("path", "block").agg(F.collect_list(F.struct("id", "sketch", "group")).alias("members"))
+    return _together(members.select("path", "block", "id", "group", "sketch"), "path", "block")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -312,21 +378,20 @@ def _deep_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     each leaf compares its members' full sets, and links that join two of its groups come out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [], []
-            for at in range(batch.num_rows):
-                members = sorted(batch.column(0)[at].as_py(), key=lambda m: m["id"])
-                near = _near([np.frombuffer(m["shingles"], np.uint64) for m in members], percent)
-                joined = np.arange(len(members))
+        for batch, bounds in _groups(batches, ["path", "block"]):
+            left, right, ids = [], [], batch.column("id").to_numpy()
+            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                near = _near(_numbers_of(batch.column("shingles").slice(start, end - start)), percent)
+                joined = np.arange(end - start)
                 for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
                     if joined[i] != joined[j]:
                         joined[joined == joined[j]] = joined[i]
-                        left.append(members[i]["id"])
-                        right.append(members[j]["id"])
+                        left.append(ids[start + i])
+                        right.append(ids[start + j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
 
-    members = rows.join(sets, "id").groupBy("path", "block").agg(F.collect_list(F.struct("id", "shingles")).alias("members"))
-    return members.select("members").mapInArrow(run, "u bigint, v bigint").distinct()
+    members = rows.join(sets, "id").select("path", "block", "id", "shingles")
+    return _together(members, "path", "block").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def _cross_links(rows: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -334,31 +399,31 @@ def _cross_links(rows: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
     full sets, block against block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [], []
-            for at in range(batch.num_rows):
-                members = batch.column(0)[at].as_py()
-                group = np.array([m["group"] for m in members])
-                own = np.array([m["own"] for m in members])
+        for batch, bounds in _groups(batches, ["node", "low", "high"]):
+            left, right, ids = [], [], batch.column("id").to_numpy()
+            every, owner = batch.column("group").to_numpy(), batch.column("own").to_numpy()
+            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                group, own = every[start:end], owner[start:end]
                 # the largest group's block is dealt to this pair of blocks only for the others' sake, and so may be alone
                 wanted = np.triu(group[:, None] != group[None, :], 1)
                 if own.min() < own.max():
                     wanted &= own[:, None] != own[None, :]
                 if not wanted.any():
                     continue
-                near = _near([np.frombuffer(m["shingles"], np.uint64) for m in members], percent) & wanted
+                near = _near(_numbers_of(batch.column("shingles").slice(start, end - start)), percent) & wanted
                 joined = {g: g for g in group.tolist()}
                 for i, j in zip(*np.nonzero(near), strict=True):
                     x, y = joined[int(group[i])], joined[int(group[j])]
                     if x != y:
                         joined = {g: x if to == y else to for g, to in joined.items()}
-                        left.append(members[i]["id"])
-                        right.append(members[j]["id"])
+                        left.append(ids[start + i])
+                        right.append(ids[start + j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
 
-    named = rows.join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id", "left").select(F.col("path").alias("node"), "id", F.coalesce("group", "id").alias("group"))
-    dealt = cross_blocks(named, CROSS).join(sets, "id").groupBy("node", "low", "high").agg(F.collect_list(F.struct("id", "group", "own", "shingles")).alias("members"))
-    return dealt.select("members").mapInArrow(run, "u bigint, v bigint").distinct()
+    named = rows.join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id", "left").join(sets.select("id", (F.octet_length("shingles") / 8).alias("size")), "id")
+    named = named.select(F.col("path").alias("node"), "id", F.coalesce("group", "id").alias("group"), "size")
+    dealt = cross_blocks(named, CROSS, CROSS_SHINGLES).join(sets, "id").select("node", "low", "high", "own", "id", "group", "shingles")
+    return _together(dealt, "node", "low", "high").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -395,8 +460,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for a, b in zip(_numbers_of(batch.column("x")), _numbers_of(batch.column("y")), strict=True):
                 both = np.sort(np.concatenate([a, b]))
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common) > 0)

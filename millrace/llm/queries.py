@@ -12,7 +12,7 @@ from millrace.llm.common import spread, table
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.lines import line_groups
 
-    return line_groups(table(spark, sf_dir, "documents"))
+    return line_groups(table(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +94,10 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": """WITH RECURSIVE line AS (
   SELECT doc_id, CAST(n - 1 AS INT) AS line_no, lower(trim(parts[n], ' ')) AS norm
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
-  WHERE length(trim(parts[n], ' ')) >= 20),
+  WHERE length(trim(parts[n], ' ')) >= 1),
 own AS (SELECT norm, row_number() OVER (ORDER BY min((doc_id, line_no))) AS id FROM line GROUP BY norm),
 node AS (SELECT id FROM own),
-gram AS (SELECT DISTINCT id, substr(norm, CAST(i AS INT), 10) AS g FROM (SELECT id, norm, unnest(range(1, length(norm) - 8)) AS i FROM own)),
+gram AS (SELECT DISTINCT id, substr(norm, CAST(i AS INT), 10) AS g FROM (SELECT id, norm, unnest(range(1, greatest(length(norm) - 8, 2))) AS i FROM own)),
 size AS (SELECT id, count(*) AS n FROM gram GROUP BY id),
 common AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM gram x JOIN gram y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id),
 pair AS (SELECT a, b FROM common JOIN size s ON s.id = a JOIN size t ON t.id = b WHERE 100 * c >= 80 * (s.n + t.n - c)),

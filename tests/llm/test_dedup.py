@@ -3,7 +3,6 @@ import random
 
 import brute
 import numpy as np
-import pytest
 from conftest import SENTENCE
 
 from millrace.llm import minhash
@@ -26,7 +25,7 @@ def expected_lines(rows, k=10, least=20):
     first, rank = {}, {p: i for i, p in enumerate(places)}
     for p in places:
         first.setdefault(lines[p], p)
-    sets = {p: {t[i : i + k] for i in range(len(t) - k + 1)} for t, p in first.items()}
+    sets = {p: {t[i : i + k] for i in range(max(len(t) - k + 1, 1))} for t, p in first.items()}
     keys = list(sets)
     links = [(rank[a], rank[b]) for i, a in enumerate(keys) for b in keys[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     group = brute.groups([rank[p] for p in keys], links)
@@ -36,9 +35,9 @@ def expected_lines(rows, k=10, least=20):
 def test_lines_equal_brute_force(spark, small_docs, odd_docs, rows):
     for docs, plain in ((small_docs, [(r.doc_id, r.text) for r in small_docs.collect()]), (odd_docs, rows)):
         want = expected_lines(plain)
-        got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in line_groups(docs).collect()}
-        assert got == want
-        assert all(r.kept == ((r.doc_id, r.line_no) == (r.first_doc_id, r.first_line_no)) for r in line_groups(docs).collect())
+        found = line_groups(docs).collect()
+        assert {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in found} == want
+        assert all(r.kept == ((r.doc_id, r.line_no) == (r.first_doc_id, r.first_line_no)) for r in found)
 
 
 def test_lines_are_removed(spark, odd_docs, no_docs):
@@ -50,8 +49,45 @@ def test_lines_are_removed(spark, odd_docs, no_docs):
     assert (out[4], out[5], out[7]) == (None, "", "short")
     assert None not in out
     assert dedup_lines(no_docs).count() == line_groups(no_docs).count() == 0
-    with pytest.raises(ValueError, match="shingle"):
-        line_groups(no_docs, min_chars=5)
+
+
+def test_lines_of_any_length(spark):
+    plain = [(1, "ab\nlong enough to have shingles\n  \n{"), (2, "AB\nab c\n{\n0123456789x\n😀😀😀😀😀😀😀😀😀😀😀"), (3, "0123456789y\nab")]
+    docs = spark.createDataFrame(plain, "doc_id bigint, text string")
+    got = {(r.doc_id, r.line_no): ((r.first_doc_id, r.first_line_no), r.group_lines, r.kept) for r in line_groups(docs, min_chars=1).collect()}
+    want = expected_lines(plain, least=1)
+    assert {p: g[0] for p, g in got.items()} == want
+    assert (got[(3, 1)], got[(2, 2)]) == (((1, 0), 3, False), ((1, 3), 2, False))
+    assert {r.doc_id: r.text for r in dedup_lines(docs).collect()} == dict(plain)
+
+
+def test_rows_of_one_doc_id_keep_their_own_text(spark):
+    line, other = SENTENCE, "A line that is found in one place only, of the second row of the document."
+    rows = [(1, line, "a", 1), (2, line, "b", 2), (2, other, "c", 3), (None, line, "d", 4), (None, other + " More.", "e", 5), (None, "Rivers and woods, and nothing else.", "f", 6), (None, "Rivers and woods, and nothing else.", "f", 7), (None, "Rivers and woods, and nothing else.\nEnd", "g", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lost string, `__lost` int").withColumnRenamed("lost", "t1")
+    out = sorted((r.doc_id or 0, r.text, r.t1) for r in dedup_lines(docs).collect())
+    assert dedup_lines(docs).columns == docs.columns
+    # of two null rows with one line the one with the smaller hash keeps it; equal rows are one
+    rivers = [x for x in out if x[2] in "fg"]
+    assert [x for x in out if x[2] not in "fg"] == [(1, line, "a"), (2, other, "c")] or [x for x in out if x[2] not in "fg"] == [(0, other + " More.", "e"), (1, line, "a"), (2, other, "c")]
+    assert sum("Rivers" in x[1] for x in rivers) in (1, 2)
+    assert sum(x[2] == "g" for x in rivers) == 1
+
+
+def test_similar_lines_of_one_head(spark):
+    # lines with a common head, alike at 0.758, each with a partner at 0.807 or more
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    head, rows = letters(260), []
+    for d in range(200):
+        own = head + letters(41)
+        rows += [(2 * d, own), (2 * d + 1, own[:-32] + letters(32))]
+    got = {r.doc_id: r.first_doc_id for r in line_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = {p[0]: f[0] for p, f in expected_lines(rows).items()}
+    planted = [d for d in want if want[d] != d]
+    assert len(planted) >= 200
+    assert sum(got[d] == want[d] for d in planted) >= 0.97 * len(planted)
+    assert all(got[d] == d for d in want if want[d] == d)
 
 
 def test_similar_lines_in_a_crowded_bucket(spark):
