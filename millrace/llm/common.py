@@ -5,18 +5,23 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.session import ship
 
-__all__ = ["Scratch", "scratch_dir", "ship", "spread", "table"]
+__all__ = ["Scratch", "scratch_dir", "ship", "spread", "table", "whole_groups"]
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: spark.checkpoint.dir, or a local one where it is unset."""
+    """The shared folder for written intermediate tables: spark.checkpoint.dir, or, in local mode alone, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
     return folder.rstrip("/")
 
@@ -57,3 +62,21 @@ def spread(scan: DataFrame) -> DataFrame:
     """A scan with fewer partitions than the cluster has cores, dealt out to all of them; any other as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of whole groups, and where each group begins (and one more): a batch's last group waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        every = pa.concat_batches([*held, batch]) if held else batch
+        names = [every.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = 1 + np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0))
+        if len(cuts):
+            yield every.slice(0, cuts[-1]), np.r_[0, cuts]
+            held = [every.slice(cuts[-1])]
+        else:
+            held = [every]
+    if held:
+        yield held[0], np.array([0, held[0].num_rows])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, ship
+from millrace.llm.common import Scratch, ship, whole_groups
 from millrace.llm.graph import components, cross_blocks
 
 #: Minwise tokens of a sketch, trees, deepest level, largest node that is compared exhaustively.
@@ -228,24 +228,6 @@ def _together(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "id")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Rows of whole groups, and where each group begins (and one more): a batch's last group waits for the next batch."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        every = pa.concat_batches([*held, batch]) if held else batch
-        names = [every.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        cuts = 1 + np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0))
-        if len(cuts):
-            yield every.slice(0, cuts[-1]), np.r_[0, cuts]
-            held = [every.slice(cuts[-1])]
-        else:
-            held = [every]
-    if held:
-        yield held[0], np.array([0, held[0].num_rows])
-
-
 def _numbers_of(column: pa.Array) -> list[np.ndarray]:
     """The 64-bit numbers that each value of a binary column holds."""
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
@@ -261,7 +243,7 @@ def _compare(leaves: DataFrame, least: int, likely: int, hidden: bool = False) -
     come out whose documents are nevertheless in different groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, bounds in _groups(batches, ["path", "block"]):
+        for rows, bounds in whole_groups(batches, ["path", "block"]):
             ids, own, tokens = rows.column("id").to_numpy(), rows.column("group").to_numpy(), _sketches_of(rows.column("sketch"))
             many = np.diff(bounds)
             two = bounds[:-1][many == 2] if not hidden else bounds[:0]
@@ -378,7 +360,7 @@ def _deep_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     each leaf compares its members' full sets, and links that join two of its groups come out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, bounds in _groups(batches, ["path", "block"]):
+        for batch, bounds in whole_groups(batches, ["path", "block"]):
             left, right, ids = [], [], batch.column("id").to_numpy()
             for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 near = _near(_numbers_of(batch.column("shingles").slice(start, end - start)), percent)
@@ -399,7 +381,7 @@ def _cross_links(rows: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
     full sets, block against block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, bounds in _groups(batches, ["node", "low", "high"]):
+        for batch, bounds in whole_groups(batches, ["node", "low", "high"]):
             left, right, ids = [], [], batch.column("id").to_numpy()
             every, owner = batch.column("group").to_numpy(), batch.column("own").to_numpy()
             for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

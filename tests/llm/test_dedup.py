@@ -7,7 +7,7 @@ from conftest import SENTENCE
 
 from millrace.llm import minhash
 from millrace.llm.common import Scratch
-from millrace.llm.embeddings import near_vectors
+from millrace.llm.embeddings import block_links, near_vectors
 from millrace.llm.graph import components
 from millrace.llm.lines import dedup_lines, line_groups
 from millrace.llm.minhash import near_duplicates, shingle_sets, text_chunks
@@ -180,6 +180,29 @@ def test_components_of_a_chain_and_a_star(spark):
     assert out == {**dict.fromkeys(range(41), 0), **dict.fromkeys([100, *range(200, 230)], 100)}
 
 
+def test_counts_find_vectors_at_the_threshold():
+    # 64 dimensions, partners at cosine 0.9 and a little more, between unlike vectors
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    other = rng.standard_normal(x.shape)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.sqrt((other * other).sum(axis=1, keepdims=True))
+    y = 0.9001 * x + math.sqrt(1 - 0.9001**2) * other
+    found = {(i, int(j)) for i, own in block_links(x, y, 0.9, False) for j in own}
+    assert all(x[i] @ y[j] >= 0.9 for i, j in found)
+    assert sum((i, i) in found for i in range(3000)) >= 2997
+
+
+def test_vectors_of_one_direction_are_dealt_in_blocks(spark):
+    rows = [(i, [1.0 + i, 0.0, 0.0]) for i in range(90)] + [(100 + i, [0.0, 1.0 + i, 1.0 + i * i]) for i in range(9)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block=16).collect()}
+    assert {got[i] for i in range(90)} == {(89, 0)}
+    x = np.array([v for _, v in rows])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    assert [got[v][0] for v, _ in rows] == ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     centers = rng.standard_normal((6, 24))
