@@ -7,10 +7,14 @@ more but still advances offsets.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
+from millrace.functions.session import shared_folder
+
 HEADER = StructType([StructField("key", StringType()), StructField("value", BinaryType())])
 ENVELOPE = StructType(
     [
@@ -36,8 +40,8 @@ def as_log(df: DataFrame, topic: str, partition: Column, order_by: list[str], ti
     """Give a table the envelope. Offsets are dense from 0 in each partition, in ``order_by`` order.
 
     ``dense="window"`` numbers a log partition in one task. ``dense="range"`` splits it: rows are sorted over ranges of
-    (partition, order), and each range starts from the count of the rows before it; use it where a log partition
-    outgrows a task, and write the result, since offsets of a real log are stored.
+    (partition, order), written under the shared folder, and each range starts from the count of the rows before it; use
+    it where a log partition outgrows a task, and write the result, since offsets of a real log are stored.
     """
     base = df.withColumn("partition", partition.cast("int"))
     order = [F.col(c) for c in order_by]
@@ -58,12 +62,16 @@ def as_log(df: DataFrame, topic: str, partition: Column, order_by: list[str], ti
 
 
 def _range_numbered(base: DataFrame, order_by: list[str]) -> DataFrame:
-    placed = base.repartitionByRange("partition", *order_by).sortWithinPartitions("partition", *order_by).withColumn("__id", F.monotonically_increasing_id())
+    # written, so that the rows that are counted are those that are numbered
+    path = f"{shared_folder(base.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    sorted_rows = base.repartitionByRange("partition", *order_by).sortWithinPartitions("partition", *order_by)
+    sorted_rows.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    placed = base.sparkSession.read.parquet(path)
     ranges = placed.groupBy("partition", F.shiftright("__id", 33).alias("__range")).agg(F.count("*").alias("__rows"), F.min("__id").alias("__least"))
     # one row for each range and log partition
     before = Window.partitionBy("partition").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select("partition", "__range", "__least", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    met = placed.withColumn("__range", F.shiftright("__id", 33)).join(starts, ["partition", "__range"])
+    met = placed.withColumn("__range", F.shiftright("__id", 33)).join(F.broadcast(starts), ["partition", "__range"])
     return met.withColumn("offset", F.col("__before") + F.col("__id") - F.col("__least")).drop("__id", "__range", "__least", "__before")
 
 
@@ -76,6 +84,11 @@ def next_offset() -> Column:
     return F.col("offset") + 1
 
 
+def previous_offset() -> Column:
+    """The offset of the row that a committable stands for."""
+    return F.col("next_offset") - 1
+
+
 def committable() -> Column:
     """The single committable of a log row."""
     return F.array(F.struct("topic", "partition", next_offset().alias("next_offset")))

@@ -1,4 +1,4 @@
-"""Shipping this package to executors."""
+"""Session plumbing: shipping this package to executors, the shared folder, files of any store."""
 
 from __future__ import annotations
 
@@ -27,3 +27,20 @@ def ship(spark: SparkSession) -> None:
                     archive.write(path, os.path.join(name, os.path.relpath(path, root)))
     context.addPyFile(target)
     _shipped.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir or, in local mode alone, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
+    return folder.rstrip("/")
+
+
+def files_of(spark: SparkSession, folder: str) -> tuple:
+    """The file system of a folder, and what makes its paths."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    path = jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path  # noqa: SLF001

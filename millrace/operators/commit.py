@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.envelope import header, next_offset
@@ -80,9 +80,11 @@ def commits(rows: DataFrame, policy: CommitPolicy, scope: list[str] | None = Non
 def dense_commits(rows: DataFrame, messages: int) -> DataFrame:
     """``commits`` for a count policy over dense log partitions, without a fold: the first message commits when it
     suffices, then every ``messages`` offsets from the partition's first one."""
-    first = F.min("offset").over(Window.partitionBy("topic", "partition"))
-    since = F.col("offset") - F.col("__first") + 1
-    return rows.withColumn("__first", first).filter(since % messages == 0).select("topic", "partition", next_offset().alias("next_offset"), (since / messages).cast("long").alias("commit_no"))
+    # one row for each log partition, so no window holds a partition
+    first = rows.groupBy("topic", "partition").agg(F.min("offset").alias("first"))
+    since = F.col("offset") - F.col("first") + 1
+    met = rows.select("topic", "partition", "offset").join(F.broadcast(first), ["topic", "partition"])
+    return met.filter(since % messages == 0).select("topic", "partition", next_offset().alias("next_offset"), (since / messages).cast("long").alias("commit_no"))
 
 
 # the commit log: key topic:partition:group, value JSON

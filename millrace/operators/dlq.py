@@ -50,15 +50,26 @@ def dead_letters(invalid: DataFrame, topic: str) -> DataFrame:
     return invalid.select(F.lit(topic).alias("topic"), "key", "value", headers.alias("headers"), F.col("partition").alias("original_partition"), F.col("offset").alias("original_offset"), *extra)
 
 
-def apply_limit(invalid: DataFrame, limit: DlqLimit, assigned: dict[int, int] | None = None, compat: bool = True) -> DataFrame:
+#: Counters of a log partition: its last invalid offset, and valid, invalid and consecutive invalid rows so far.
+COUNTERS = "topic string, partition int, last bigint, valid bigint, invalid bigint, run bigint"
+
+
+def apply_limit(invalid: DataFrame, limit: DlqLimit, assigned: dict[int, int] | None = None, compat: bool = True, counters: DataFrame | None = None) -> DataFrame:
     """Add the counters of each invalid row and ``accepted``, in offset order within its partition.
 
     ``assigned`` gives the offset from which a partition is read: the row before it counts as the previous invalid one.
+    ``counters`` (``COUNTERS``) go on from earlier rows, one row for each log partition; they go before ``assigned``.
     With ``compat`` a gap from offset L to o counts o - L + 1 valid rows, as deployed consumers do, otherwise
     o - L - 1. Rejected rows still count. Without valid rows a ratio limit rejects.
     """
     own = Window.partitionBy("topic", "partition").orderBy("offset")
     previous = F.lag("offset").over(own)
+    before = {c: F.lit(0).cast("long") for c in ("valid", "invalid", "run")}
+    if counters is not None:
+        named = counters.select("topic", "partition", *[F.col(c).alias(f"__{c}") for c in ("last", *before)])
+        invalid = invalid.join(F.broadcast(named), ["topic", "partition"], "left").withColumnRenamed("__last", "__earlier")
+        previous = F.coalesce(previous, F.col("__earlier"))
+        before = {c: F.coalesce(F.col(f"__{c}"), F.lit(0)) for c in before}
     if assigned:
         pairs = [x for p, o in assigned.items() for x in (F.lit(p), F.lit(o - 1).cast("long"))]
         previous = F.coalesce(previous, F.try_element_at(F.create_map(*pairs), F.col("partition")))
@@ -68,16 +79,25 @@ def apply_limit(invalid: DataFrame, limit: DlqLimit, assigned: dict[int, int] |
     df = df.withColumn("__gap", F.when(F.col("__last").isNull() | run, F.lit(0).cast("long")).otherwise(gap))
     df = df.withColumn("__break", F.when(run, 0).otherwise(1))
     so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("valid_count", F.sum("__gap").over(so_far)).withColumn("invalid_count", F.count("*").over(so_far))
+    df = df.withColumn("valid_count", F.sum("__gap").over(so_far) + before["valid"]).withColumn("invalid_count", F.count("*").over(so_far) + before["invalid"])
     df = df.withColumn("__island", F.sum("__break").over(so_far))
     island = Window.partitionBy("topic", "partition", "__island").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("consecutive", F.count("*").over(island))
+    # rows without a break go on with the run before them
+    df = df.withColumn("consecutive", F.count("*").over(island) + F.when(F.col("__island") == 0, before["run"]).otherwise(0))
     accepted = F.lit(True)
     if limit.max_invalid_ratio is not None:
         accepted = accepted & (F.col("valid_count") > 0) & (F.col("invalid_count") / F.when(F.col("valid_count") > 0, F.col("valid_count")) <= limit.max_invalid_ratio)
     if limit.max_consecutive_count is not None:
         accepted = accepted & (F.col("consecutive") <= limit.max_consecutive_count)
-    return df.withColumn("accepted", F.coalesce(accepted, F.lit(False))).drop("__last", "__gap", "__break", "__island")
+    return df.withColumn("accepted", F.coalesce(accepted, F.lit(False))).drop("__last", "__gap", "__break", "__island", "__earlier", *[f"__{c}" for c in before])
+
+
+def counters_after(limited: DataFrame, counters: DataFrame) -> DataFrame:
+    """``COUNTERS`` after rows to which ``apply_limit`` has added its own; partitions without such rows keep theirs."""
+    last = limited.groupBy("topic", "partition").agg(F.max(F.struct("offset", "valid_count", "invalid_count", "consecutive")).alias("now"))
+    met = counters.join(last, ["topic", "partition"], "full")
+    new = lambda name, old: F.coalesce(F.col(f"now.{name}"), F.col(old)).alias(old)
+    return met.select("topic", "partition", new("offset", "last"), new("valid_count", "valid"), new("invalid_count", "invalid"), new("consecutive", "run"))
 
 
 def enforce(limited: DataFrame, on_limit: str = "fail") -> DataFrame:

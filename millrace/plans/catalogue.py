@@ -5,6 +5,7 @@ Topic ``events``; partition user_id mod 4; offsets dense by ts, event_id; an eve
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,17 +13,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import envelope as env
+from millrace.functions.session import files_of, shared_folder
 from millrace.operators import commit, dlq, steps
 
 NOW = "2024-02-01 00:00:00"
 
 
+_stored: dict[tuple, str] = {}
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events with an envelope, and the columns that predicates and folds use."""
+    """The events with an envelope, and the columns that predicates and folds use: a stored log, as a topic's offsets are.
+
+    It is derived once for an application, over ranges in as many tasks as there are cores, and written under the shared
+    folder by log partition; queries read it, so their filters on partition and offset reach the scan.
+    """
+    key = (spark.sparkContext.applicationId, shared_folder(spark), spark.conf.get("spark.sql.session.timeZone"), sf_dir)
+    files, path = files_of(spark, shared_folder(spark))
+    if key not in _stored or not files.exists(path(_stored[key])):
+        _stored[key] = f"{shared_folder(spark)}/events-log-{uuid.uuid4().hex}"
+        derive_log(spark, sf_dir).write.partitionBy("partition").parquet(_stored[key])
+    columns = [*env.ENVELOPE.names, "event_id", "event_type", "props", "k", "amount"]
+    return spark.read.parquet(_stored[key]).select(*columns)
+
+
+def derive_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
     events = events.withColumn("k", k)
-    return env.as_log(events, "events", F.col("user_id") % 4, ["ts", "event_id"], "ts", F.col("user_id").cast("string"), F.col("props"), keep=["event_id", "event_type", "props", "k", F.col("value").alias("amount")])
+    return env.as_log(events, "events", F.col("user_id") % 4, ["ts", "event_id"], "ts", F.col("user_id").cast("string"), F.col("props"), keep=["event_id", "event_type", "props", "k", F.col("value").alias("amount")], dense="range")
 
 
 LOG_SQL = """WITH log AS (
@@ -83,7 +102,8 @@ def _filter_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unfold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir).filter(F.col("k").between(1, 5))
+    # sequence(0, -1) counts down
+    log = event_log(spark, sf_dir).filter(F.col("k") >= 1)
     return log.transform(steps.unfold(F.sequence(F.lit(0), F.col("k") - 1))).select("partition", "offset", "item", "next_offset")
 
 
@@ -129,6 +149,28 @@ def _dlq_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("partition", "offset", "valid_count", "invalid_count", "consecutive", "accepted")
 
 
+def _dlq_limit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit over micro-batches, whose counters go on from batch to batch: as on a replay."""
+    _, invalid = dlq.split(dlq.validate(event_log(spark, sf_dir), is_error()))
+    counters = spark.createDataFrame([("events", p, -1, 0, 0, 0) for p in range(4)], dlq.COUNTERS)
+    out = None
+    for low, high in ((0, 99), (100, 599), (600, 1 << 62)):
+        limited = dlq.apply_limit(invalid.filter(F.col("offset").between(low, high)), dlq.DlqLimit(0.35, 2), counters=counters)
+        counters = dlq.counters_after(limited, counters)
+        out = limited if out is None else out.unionByName(limited)
+    return out.select("partition", "offset", "valid_count", "invalid_count", "consecutive", "accepted")
+
+
+def _sentinel_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged rows pass an opaque map, a fold and a flat-map; the others are mapped, folded and unfolded."""
+    log = event_log(spark, sf_dir).select("topic", "partition", "offset", "timestamp", "event_type", "k").transform(steps.flag_filtered(is_error(), ["event_type", "k"]))
+    schema = "topic string, partition int, offset bigint, timestamp timestamp, event_type string, k int"
+    mapped = log.transform(steps.map_udf(lambda f: f.drop(columns="is_filtered").assign(k=f["k"] + 1), schema))
+    folded = steps.fold_batches(mapped, lambda acc, row: acc + row["k"], lambda: 0, "bigint", 20)
+    items = F.sequence(F.lit(1), F.col("value") % 3 + 1)
+    return folded.withColumn("offset", env.previous_offset()).transform(steps.unfold(items)).select("partition", "offset", "value", "item", "next_offset", "is_filtered")
+
+
 def _invalid_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, invalid = dlq.split(dlq.validate(event_log(spark, sf_dir), is_error()))
     return dlq.invalid_progress(invalid)
@@ -215,6 +257,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_unbatch": _batch_unbatch,
     "dlq_split": _dlq_split,
     "dlq_limit": _dlq_limit,
+    "dlq_limit_batches": _dlq_limit_batches,
+    "sentinel_steps": _sentinel_steps,
     "invalid_progress": _invalid_progress,
     "buffer_cap": _buffer_cap,
     "buffer_miss": _buffer_miss,
@@ -252,7 +296,7 @@ SELECT partition, o AS "offset", false AS is_filtered FROM walk WHERE pass
 UNION ALL SELECT partition, fired, true FROM walk WHERE fired IS NOT NULL
 UNION ALL SELECT partition, o, true FROM walk w WHERE NOT pass AND o = (SELECT max("offset") FROM log l WHERE l.partition = w.partition)""",
     "unfold": LOG_SQL + """SELECT partition, "offset", CAST(item AS INT) AS item, CASE WHEN item = k - 1 THEN "offset" + 1 END AS next_offset
-FROM (SELECT *, unnest(range(0, k)) AS item FROM log WHERE k BETWEEN 1 AND 5)""",
+FROM (SELECT *, unnest(range(0, k)) AS item FROM log WHERE k >= 1)""",
     "count_batch": LOG_SQL + """SELECT partition, "offset" // 100 AS batch_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS k_sum, max("offset") + 1 AS next_offset,
        epoch_us(arg_max("timestamp", "offset")) AS ts_us FROM log GROUP BY partition, "offset" // 100""",
     "weighted_batch": LOG_SQL.replace("WITH log", "WITH RECURSIVE log") + """, walk AS (
@@ -285,6 +329,11 @@ runs AS (SELECT *, sum(CASE WHEN o = l + 1 THEN 0 ELSE 1 END) OVER w AS island,
 counted AS (SELECT *, count(*) OVER (PARTITION BY partition, island ORDER BY o ROWS UNBOUNDED PRECEDING) AS run FROM runs)
 SELECT partition, o AS "offset", CAST(valid AS BIGINT) AS valid_count, invalid AS invalid_count, run AS consecutive,
        valid > 0 AND invalid / valid <= 0.35 AND run <= 2 AS accepted FROM counted""",
+    "sentinel_steps": LOG_SQL + """, bad AS (SELECT *, (row_number() OVER (PARTITION BY partition ORDER BY "offset") - 1) // 20 AS b FROM log WHERE event_type = 'error'),
+folded AS (SELECT partition, max("offset") AS o, CAST(sum(k + 1) AS BIGINT) AS value FROM bad GROUP BY partition, b)
+SELECT partition, o AS "offset", value, item, CASE WHEN item = value % 3 + 1 THEN o + 1 END AS next_offset, false AS is_filtered
+FROM (SELECT *, CAST(unnest(range(1, value % 3 + 2)) AS BIGINT) AS item FROM folded)
+UNION ALL SELECT partition, "offset", NULL, NULL, "offset" + 1, true FROM log WHERE event_type <> 'error'""",
     "invalid_progress": LOG_SQL + "SELECT topic, partition, max(\"offset\") + 1 AS next_offset, true AS is_filtered FROM log WHERE event_type = 'error' GROUP BY topic, partition",
     "buffer_cap": LOG_SQL + 'SELECT partition, "offset", event_id FROM log QUALIFY row_number() OVER (PARTITION BY partition ORDER BY "offset" DESC) <= 50',
     "buffer_miss": LOG_SQL + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY "offset" DESC) AS r FROM log)
@@ -312,3 +361,4 @@ FROM log GROUP BY partition""",
     "transform_pipeline": LOG_SQL + "SELECT partition, \"offset\", event_id, sha256(props) AS hashed FROM log WHERE event_type <> 'error'",
     "range_offsets": "SELECT CAST(conv_id % 3 AS INT) AS partition, count(*) AS n, CAST(0 AS BIGINT) AS low, count(*) AS high, count(*) AS n_offsets FROM conversations GROUP BY conv_id % 3",
 }
+ORACLE_SQL["dlq_limit_batches"] = ORACLE_SQL["dlq_limit"]

@@ -73,7 +73,7 @@ class LogStore:
         return int(json.loads(self.spark.read.text(f"{self.root}/_topics/{topic}.json", wholetext=True).first()[0])["partitions"])
 
     def read(self, topic: str | list[str], start: dict[int, int] | None = None, end: dict[int, int] | None = None) -> DataFrame:
-        """The rows of one or several topics, from start offsets up to (not including) end offsets."""
+        """The rows of one or several topics, from start offsets (the first by default) up to (not including) end offsets."""
         topics = [topic] if isinstance(topic, str) else topic
         for t in topics:
             self.partition_count(t)
@@ -82,7 +82,10 @@ class LogStore:
         log = self.spark.read.schema(ENVELOPE).parquet(f"{self.root}/data").select(*ENVELOPE.names).filter(F.col("topic").isin(topics))
         if start is None and end is None:
             return log
-        every = sorted({*(start or {}), *(end or {})})
+        # partitions that aren't named are read whole
+        every = range(max(self.partition_count(t) for t in topics))
+        if any(p not in every for p in (*(start or {}), *(end or {}))):
+            raise PartitionDoesNotExist(f"{topics}: {sorted({*(start or {}), *(end or {})})}")
         return seek(log, {p: ((start or {}).get(p, 0), (end or {}).get(p)) for p in every})
 
     def read_stream(self, topic: str, max_files: int | None = None) -> DataFrame:
@@ -103,7 +106,7 @@ class LogStore:
             raise ValueError("negative offset")
         if partition not in range(self.partition_count(topic)):
             raise PartitionDoesNotExist(f"{topic}/{partition}")
-        row = self.read(topic, {partition: offset}, {partition: offset + 1}).first()
+        row = seek(self.read(topic), {partition: (offset, offset + 1)}).first()
         if row is None and offset > self.watermarks(topic)[partition][1]:
             raise OffsetOutOfRange(f"{topic}/{partition} {offset}")
         return row

@@ -3,17 +3,24 @@
 ``build`` turns the log into output rows; the same function serves both. A micro-batch writes the main output, then the
 dead letters, and only when both are written does Spark commit the batch's offsets, so nothing is committed that is not
 delivered (at least once; exactly once with sinks that skip a batch id they have seen).
+
+Dead-letter limits count over the whole stream: each batch writes its counters by log partition beside the checkpoint,
+under its id, and goes on from those of the batch before it, so a batch that runs again counts once. A partition's
+counters start at the first offset that the stream reads of it.
 """
 
 from __future__ import annotations
 
 import threading
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from millrace.functions.session import files_of
 from millrace.operators import dlq
 from millrace.streaming.metrics import ProgressListener, Watchdog
 
@@ -47,8 +54,45 @@ def noop_sink(df: DataFrame, batch_id: int) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def run_batch(pipeline: Pipeline, log: DataFrame, batch_id: int = 0) -> None:
-    """One batch: split, write the output, then the dead letters, then the progress."""
+class Counters:
+    """Counters of the dead-letter limits by batch id, as small tables in a folder; without one, in memory."""
+
+    def __init__(self, folder: str | None = None) -> None:
+        self.folder, self.held = folder, {}
+
+    def before(self, log: DataFrame, batch_id: int) -> DataFrame:
+        """Those of the last batch before this one, and of partitions that are new: the offset before their first row."""
+        spark = log.sparkSession
+        start = log.groupBy("topic", "partition").agg((F.min("offset") - 1).alias("last")).select("topic", "partition", "last", *[F.lit(0).cast("long").alias(c) for c in ("valid", "invalid", "run")])
+        earlier = max((b for b in self._batches(spark) if b < batch_id), default=None)
+        if earlier is None:
+            return start
+        old = spark.read.schema(dlq.COUNTERS).parquet(f"{self.folder}/{earlier}") if self.folder else spark.createDataFrame(self.held[earlier], dlq.COUNTERS)
+        return old.unionByName(start.join(F.broadcast(old), ["topic", "partition"], "left_anti"))
+
+    def write(self, counters: DataFrame, batch_id: int) -> None:
+        """One row for each log partition. Counters of batches that can't run again are deleted."""
+        spark = counters.sparkSession
+        if not self.folder:
+            self.held = {b: rows for b, rows in self.held.items() if b == batch_id - 1} | {batch_id: counters.collect()}
+            return
+        counters.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
+        files, path = files_of(spark, self.folder)
+        for b in self._batches(spark):
+            if b < batch_id - 1:
+                files.delete(path(f"{self.folder}/{b}"), True)
+
+    def _batches(self, spark: object) -> list[int]:
+        if not self.folder:
+            return list(self.held)
+        files, path = files_of(spark, self.folder)
+        done = lambda s: files.exists(path(f"{s.getPath()}/_SUCCESS"))
+        return [int(s.getPath().getName()) for s in files.listStatus(path(self.folder)) if done(s)] if files.exists(path(self.folder)) else []
+
+
+def run_batch(pipeline: Pipeline, log: DataFrame, batch_id: int = 0, counters: Counters | None = None) -> None:
+    """One batch: split, write the output, then the dead letters, then the progress. ``counters`` carry the dead-letter
+    limits from batch to batch; without them the batch is counted on its own, from its first offsets."""
     if pipeline.invalid is None:
         pipeline.sink(pipeline.build(log), batch_id)
     else:
@@ -57,19 +101,36 @@ def run_batch(pipeline: Pipeline, log: DataFrame, batch_id: int = 0) -> None:
             valid, invalid = dlq.split(dlq.validate(held, pipeline.invalid, pipeline.reason))
             pipeline.sink(pipeline.build(valid), batch_id)
             if pipeline.dead_letters is not None and pipeline.dead_letter_sink is not None:
-                limit = pipeline.dead_letters.limit
-                if limit != dlq.DlqLimit():
-                    invalid = dlq.enforce(dlq.apply_limit(invalid, limit), pipeline.dead_letters.on_limit)
-                pipeline.dead_letter_sink(dlq.dead_letters(invalid, pipeline.dead_letters.topic), batch_id)
+                _dead_letters(pipeline, held, invalid, batch_id, counters or Counters())
         finally:
             held.unpersist()
     if pipeline.commit_log is not None:
         pipeline.commit_log(log, batch_id)
 
 
+def _dead_letters(pipeline: Pipeline, log: DataFrame, invalid: DataFrame, batch_id: int, counters: Counters) -> None:
+    config, place = pipeline.dead_letters, ["topic", "partition", "offset"]
+    after = None
+    if config.limit != dlq.DlqLimit():
+        before = counters.before(log, batch_id)
+        limited = dlq.apply_limit(invalid, config.limit, counters=before)
+        after = dlq.counters_after(limited, before)
+        invalid = dlq.enforce(limited, config.on_limit)
+    if config.buffered:
+        buffer = dlq.buffered(log, config.buffered).select(*place)
+        evicted = invalid.join(buffer, place, "left_anti").count()
+        if evicted:
+            warnings.warn(f"{evicted} invalid messages are no longer in the buffer", stacklevel=2)
+        invalid = invalid.join(buffer, place, "left_semi")
+    pipeline.dead_letter_sink(dlq.dead_letters(invalid, config.topic), batch_id)
+    if after is not None:
+        counters.write(after, batch_id)
+
+
 def run_stream(pipeline: Pipeline, log: DataFrame, checkpoint: str, name: str | None = None, **trigger: object) -> StreamingQuery:
     """Start the stream; ``trigger`` as in ``writeStream.trigger`` (availableNow by default)."""
-    writer = log.writeStream.foreachBatch(lambda df, batch_id: run_batch(pipeline, df, batch_id)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+    counters = Counters(f"{checkpoint.rstrip('/')}/dead-letter-counters")
+    writer = log.writeStream.foreachBatch(lambda df, batch_id: run_batch(pipeline, df, batch_id, counters)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
     return (writer.queryName(name) if name else writer).start()
 
 

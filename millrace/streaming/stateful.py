@@ -12,24 +12,24 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from millrace.functions.session import ship
 from millrace.operators.dlq import DlqLimit
 
-BATCH_SCHEMA = "topic string, partition int, values array<string>, next_offset bigint, timestamp timestamp"
+BATCH_SCHEMA = "topic string, partition int, values array<binary>, next_offset bigint, timestamp timestamp"
 
 
 class BatchProcessor(StatefulProcessor):
     """Collects values of a log partition until ``max_size`` is reached or ``max_seconds`` have passed since the batch
-    began. Subclasses may change ``is_ready``, ``weigh`` and ``value``."""
+    began. Values are bytes. Subclasses may change ``is_ready``, ``weigh`` and ``value`` (bytes of another payload)."""
 
     def __init__(self, max_size: float, max_seconds: float | None = None, weigh: Callable[[dict], float] | None = None) -> None:
         self.max_size, self.max_seconds, self.weigh = max_size, max_seconds, weigh or (lambda row: 1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getListState("items", "value string, offset bigint, timestamp timestamp")
+        self.items = handle.getListState("items", "value binary, offset bigint, timestamp timestamp")
         self.meta = handle.getValueState("meta", "size double, deadline bigint")
 
-    def value(self, row: dict) -> str | None:
+    def value(self, row: dict) -> bytes | None:
         raw = row["value"]
-        return None if raw is None else bytes(raw).decode()
+        return None if raw is None else bytes(raw)
 
     def is_ready(self, size: float) -> bool:
         return size >= self.max_size
@@ -78,17 +78,18 @@ def batch_stream(log: DataFrame, processor: BatchProcessor, timed: bool | None =
 
 
 class LimitProcessor(StatefulProcessor):
-    """Dead-letter limits with counters that live in the state store. ``reset_on_start`` would be a new checkpoint."""
+    """Dead-letter limits with counters that live in the state store; ``assigned`` gives the offset from which a
+    partition is read. ``reset_on_start`` would be a new checkpoint."""
 
-    def __init__(self, limit: DlqLimit, compat: bool = True) -> None:
-        self.limit, self.extra = limit, 1 if compat else -1
+    def __init__(self, limit: DlqLimit, compat: bool = True, assigned: dict[int, int] | None = None) -> None:
+        self.limit, self.extra, self.assigned = limit, 1 if compat else -1, assigned or {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("counters", "last bigint, valid bigint, invalid bigint, consecutive bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out = []
-        last, valid, invalid, run = self.state.get() if self.state.exists() else (None, 0, 0, 0)
+        last, valid, invalid, run = self.state.get() if self.state.exists() else (self.assigned[key[1]] - 1 if key[1] in self.assigned else None, 0, 0, 0)
         frames = list(rows)
         for offset in sorted(pd.concat(frames)["offset"].tolist()) if frames else ():
             if last is None:
@@ -111,7 +112,7 @@ class LimitProcessor(StatefulProcessor):
         pass
 
 
-def limit_stream(invalid: DataFrame, limit: DlqLimit, compat: bool = True) -> DataFrame:
+def limit_stream(invalid: DataFrame, limit: DlqLimit, compat: bool = True, assigned: dict[int, int] | None = None) -> DataFrame:
     ship(invalid.sparkSession)
     keyed = invalid.select("topic", "partition", "offset").groupBy("topic", "partition")
-    return keyed.transformWithStateInPandas(statefulProcessor=LimitProcessor(limit, compat), outputStructType="topic string, partition int, offset bigint, accepted boolean", outputMode="Append", timeMode="None")
+    return keyed.transformWithStateInPandas(statefulProcessor=LimitProcessor(limit, compat, assigned), outputStructType="topic string, partition int, offset bigint, accepted boolean", outputMode="Append", timeMode="None")

@@ -174,3 +174,53 @@ def test_range_offsets_are_dense(spark):
     out = env.as_log(df, "t", F.col("p"), ["o", "id"], "ts", keep=["id"], dense="range").collect()
     by = env.as_log(df, "t", F.col("p"), ["o", "id"], "ts", keep=["id"]).collect()
     assert {(r.partition, r.offset, r.id) for r in out} == {(r.partition, r.offset, r.id) for r in by}
+
+
+def test_folds_keep_exact_types(spark):
+    big = (1 << 53) + 1
+    rows = [("t", 0, 0, T0, big, float("nan"), b"\xff\x00"), ("t", 0, 1, T0, None, 1.5, None), ("t", 0, 2, T0, big, None, b"")]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset bigint, timestamp timestamp, n bigint, x double, b binary")
+    for out in (steps.closing_batch_ids(df, size=2), steps.sentinels(df, F.lit(True), 5)):
+        back = out.orderBy("offset").collect()
+        assert [r.n for r in back] == [big, None, big]
+        assert (back[0].x != back[0].x, back[1].x, back[2].x) == (True, 1.5, None)
+        assert [r.b for r in back] == [b"\xff\x00", None, b""]
+        assert [r.timestamp for r in back] == [T0] * 3
+    total = steps.fold_batches(df, lambda acc, row: acc + (row["n"] or 0), lambda: 0, "bigint", 3).first()
+    assert total.value == 2 * big
+
+
+def test_sentinels_pass_every_step(spark):
+    df = log(spark, [(0, i, i) for i in range(7)], "int").withColumn("is_filtered", F.col("offset").isin(1, 4))
+    past = lambda out: sorted((r.next_offset if "next_offset" in out.columns else r.offset + 1) for r in out.filter("is_filtered").collect())
+    fold = steps.fold_batches(df, lambda acc, row: [*acc, row["payload"]], list, "array<int>", 2)
+    assert (past(fold), got(fold.filter("not is_filtered"), "value", "next_offset")) == ([2, 5], [([0, 2], 3), ([3, 5], 6), ([6], 7)])
+    assert past(df.transform(steps.unfold(F.array("payload", "payload")))) == [2, 5]
+    ids = steps.closing_batch_ids(df, size=2)
+    assert (past(ids), got(ids.filter("not is_filtered"), "offset", "batch_id")) == ([2, 5], [(0, 0), (2, 0), (3, 1), (5, 1), (6, 2)])
+    batches = ids.transform(steps.batch(["payload"]))
+    assert (past(batches), sorted(r.n for r in batches.filter("not is_filtered").collect())) == ([2, 5], [1, 2, 2])
+    assert past(steps.unbatch(batches)) == [2, 5]
+    assert past(ids.transform(steps.reduce_({"s": F.sum("payload")}))) == [2, 5]
+    schema = "topic string, partition int, offset bigint, payload int"
+    for step in (steps.map_udf(lambda f: f[["topic", "partition", "offset", "payload"]].assign(payload=f["payload"] * 2), schema), steps.map_threads(lambda r: {k: r[k] for k in ("topic", "partition", "offset")} | {"payload": r["payload"] * 2}, schema)):
+        out = df.transform(step)
+        assert (past(out), [p for _, p in got(out.filter("not is_filtered"), "offset", "payload")]) == ([2, 5], [0, 4, 6, 10, 12])
+    # the dropped row at offset 0 is no longer the partition's last
+    assert got(steps.sentinels(df, F.col("payload") > 0, 9), "offset", "is_filtered") == [(1, True), (2, False), (3, False), (4, True), (5, False), (6, False)]
+
+
+def test_filter_policy_over_partitions_and_by_time(spark):
+    rows = [("t", p, o, T0 + dt.timedelta(seconds=i), False) for i, (p, o) in enumerate([(1, 0), (0, -1), (0, 0), (0, 1)])]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset bigint, timestamp timestamp, payload boolean")
+    order = ["timestamp", "partition", "offset"]
+    out = [(r.partition, r.offset + 1) for r in steps.sentinels(df, F.col("payload"), 3, ["topic"], order).collect()]
+    assert (sorted(out[:2]), out[2:]) == ([(0, 1), (1, 1)], [(0, 2)])
+    timed = [(r.partition, r.offset + 1) for r in steps.sentinels(df, F.col("payload"), commit.CommitPolicy(2, None), ["topic"], order).collect()]
+    assert (sorted(timed[:2]), timed[2:]) == ([(0, 0), (1, 1)], [(0, 2)])
+
+
+def test_unfolded_items_keep_their_own_committable(spark):
+    df = log(spark, [(0, 4, 1)], "int")
+    items = F.array(F.struct(F.lit(1).alias("v"), F.lit(9).cast("bigint").alias("to")), F.struct(F.lit(2).alias("v"), F.lit(None).cast("bigint").alias("to")))
+    assert [(r.item.v, r.next_offset) for r in df.transform(steps.unfold(items, own="to")).orderBy("position").collect()] == [(1, 9), (2, 5)]

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import envelope as env
 from millrace.operators import dlq
 from millrace.sources import kafka
 from millrace.sources.consumer import Closed, EndOfPartition, LogConsumer, LogProducer
@@ -125,7 +126,7 @@ def test_stateful_batches_survive_a_restart(spark, store, tmp_path):
     store.produce(messages(spark, range(4, 7)), "t", ["n"])
     run()
     rows = spark.read.parquet(f"{tmp_path}/out").orderBy("next_offset").collect()
-    assert [(list(r["values"]), r.next_offset) for r in rows] == [(["0", "1", "2"], 3), (["3", "4", "5"], 6)]
+    assert [(list(r["values"]), r.next_offset) for r in rows] == [([b"0", b"1", b"2"], 3), ([b"3", b"4", b"5"], 6)]
 
 
 def test_limits_keep_their_counters(spark, store, tmp_path):
@@ -251,3 +252,52 @@ def test_client_statistics():
     assert lines == ["m.producer.librdkafka.message_count:3|g", "m.producer.librdkafka.p99_rtt:2.5|ms|#broker_id:1"]
     assert len(set(NAMES)) == len(NAMES)
     assert set(FROM_PROGRESS) <= set(NAMES)
+
+
+def test_limits_count_over_micro_batches(spark, tmp_path):
+    # a valid row, an invalid one, then batches without and with invalid ones: counted as on a replay
+    store = LogStore(spark, str(tmp_path / "log"))
+    store.create_topic("t", 1)
+    bad = {5, 8, 9, 11}
+    limit = dlq.DlqLimit(0.9, 2)
+    for a in range(0, 12, 3):
+        store.produce(messages(spark, range(a, a + 3)), "t", ["n"])
+    text = F.decode("value", "UTF-8")
+    invalid = text.isin([str(b) for b in bad])
+    letters = {}
+    pipeline = processor.Pipeline(lambda df: df, processor.noop_sink, invalid=invalid, dead_letters=dlq.DlqConfig("dead", limit), dead_letter_sink=collect_sink(letters))
+    processor.run_stream(pipeline, store.read_stream("t", 1), str(tmp_path / "check")).awaitTermination()
+    assert sorted(int(bytes(r.value)) for rows in letters.values() for r in rows) == sorted(bad)
+    # the same batch again counts once
+    counters = processor.Counters(str(tmp_path / "counters"))
+    log = store.read("t")
+    for batch, (a, b) in enumerate([(0, 7), (7, 10), (7, 10), (10, 12)]):
+        processor.run_batch(pipeline, log.filter(F.col("offset").between(a, b - 1)), batch - (batch > 1), counters)
+    whole = dlq.counters_after(dlq.apply_limit(log.filter(invalid), limit, assigned={0: 0}), spark.createDataFrame([], dlq.COUNTERS)).first()
+    assert counters.before(log, 99).first() == whole
+    # three in a row are one too many, though each batch has one
+    three = dlq.DlqConfig("dead", dlq.DlqLimit(None, 2))
+    strict = processor.Pipeline(lambda df: df, processor.noop_sink, invalid=text.isin("5", "6", "7"), dead_letters=three, dead_letter_sink=collect_sink({}))
+    counters = processor.Counters()
+    processor.run_batch(strict, log.filter("offset = 5"), 0, counters)
+    processor.run_batch(strict, log.filter("offset = 6"), 1, counters)
+    with pytest.raises(Exception, match="limit exceeded"):
+        processor.run_batch(strict, log.filter("offset = 7"), 2, counters)
+
+
+def test_messages_that_left_the_buffer_are_not_dead_letters(spark):
+    rows = spark.range(10).select(F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"), F.lit(T0).alias("timestamp"), F.lit(None).cast("binary").alias("key"), F.col("id").cast("string").cast("binary").alias("value")).withColumn("headers", env.no_headers())
+    letters = {}
+    pipeline = processor.Pipeline(lambda df: df, processor.noop_sink, invalid=F.col("offset").isin(1, 9), dead_letters=dlq.DlqConfig("dead", buffered=2), dead_letter_sink=collect_sink(letters))
+    with pytest.warns(UserWarning, match="1 invalid"):
+        processor.run_batch(pipeline, rows)
+    assert [bytes(r.value) for r in letters[0]] == [b"9"]
+
+
+def test_reads_from_some_start_offsets_keep_the_other_partitions(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path))
+    store.create_topic("t", 2)
+    store.produce(messages(spark, range(4)), "t", ["n"])
+    store.produce(messages(spark, range(3), 1), "t", ["n"])
+    assert sorted((r.partition, r.offset) for r in store.read("t", {0: 2}).collect()) == [(0, 2), (0, 3), (1, 0), (1, 1), (1, 2)]
+    assert sorted((r.partition, r.offset) for r in store.read("t", {0: 2}, {1: 1}).collect()) == [(0, 2), (0, 3), (1, 0)]
