@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,19 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.functions.session import ship
+from millrace.functions.session import files_of, shared_folder, ship
 
-__all__ = ["Scratch", "scratch_dir", "ship", "spread", "table", "whole_groups"]
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: spark.checkpoint.dir, or, in local mode alone, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
-    return folder.rstrip("/")
+__all__ = ["Scratch", "ship", "spread", "table", "whole_groups"]
 
 
 class Scratch:
@@ -36,7 +24,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        self.root = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._count = 0
 
     def cut(self, frame: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -48,10 +36,9 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm  # noqa: SLF001
+        files, path = files_of(self.spark, self.root)
         for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(frame._scratch_path)  # noqa: SLF001
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+            files.delete(path(frame._scratch_path), True)  # noqa: SLF001
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
