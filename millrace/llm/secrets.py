@@ -133,17 +133,22 @@ def segment(token: str, models: dict[str, dict[str, float]], threshold: float =
 
 def random_parts(token: str, models: dict[str, dict[str, float]], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Starts and ends of the secrets in a token: all of it, or its random parts, widened to the next = or /."""
-    if len(token) < LEAST_TOKEN:
-        return []
-    if len(token) >= LEAST_WHOLE and ratio(token, models) >= threshold:
-        return [(0, len(token))]
-    part = segment(token, models, threshold)
-    if part is None:
-        return []
-    start = max(token.rfind("=", 0, part[0]), token.rfind("/", 0, part[0])) + 1
-    end = min((at for at in (token.find("=", part[1]), token.find("/", part[1])) if at >= 0), default=len(token))
-    before, after = random_parts(token[:start], models, threshold), random_parts(token[end:], models, threshold)
-    return [*before, (start, end), *((end + a, end + b) for a, b in after)]
+    out, left = [], [(0, token)]
+    while left:
+        at, token = left.pop()
+        if len(token) < LEAST_TOKEN:
+            continue
+        if len(token) >= LEAST_WHOLE and ratio(token, models) >= threshold:
+            out.append((at, at + len(token)))
+            continue
+        part = segment(token, models, threshold)
+        if part is None:
+            continue
+        start = max(token.rfind("=", 0, part[0]), token.rfind("/", 0, part[0])) + 1
+        end = min((i for i in (token.find("=", part[1]), token.find("/", part[1])) if i >= 0), default=len(token))
+        out.append((at + start, at + end))
+        left += [(at, token[:start]), (at + end, token[end:])]
+    return sorted(out)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -163,7 +168,10 @@ def model_spans(text: str, base: list[tuple[int, int, int]], models: dict, thres
         token = m[0]
         while at < len(base) and base[at][2] <= m.start():
             at += 1
-        if any(b[0] < m.end() and b[2] > m.start() for b in base[at:]):
+        k = at
+        while k < len(base) and base[k][0] < m.end() and base[k][2] <= m.start():
+            k += 1
+        if k < len(base) and base[k][0] < m.end():
             continue
         found += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(token, models, threshold)]
     return found
