@@ -3,9 +3,10 @@
 Writing: payload digests are grouped first; of equal payloads of at least ``REVISIT_BYTES`` the least page_id's record
 is the response, and the others are revisits that refer to it. A task writes its records into segments of about
 ``SEGMENT`` bytes; a segment is a binary column of a Parquet table in the shared folder, so any store can hold it, and
-``export`` turns segments into files. Reading parses segments and gives a locally sorted capture run for each. The runs
-are range-partitioned by URL key, timestamp and page_id (a hot key spreads over ranges) and each range is merged by a
-loser tree over its runs' slices, which puts all capture histories in global order.
+``export`` turns segments into files. Reading parses segments and gives a locally sorted capture run for each, which is
+written. Ranges of URL key, timestamp and page_id (a hot key spreads over ranges) cut every run into sorted slices; a
+range's slices are merged by a loser tree, which reads each of them in order and nothing twice, and the ranges follow one
+another, which puts all capture histories in global order. No row is sorted again after its run.
 
 Rows: a null html is an empty payload; a null url has the key "". Null page_ids come last of equal payloads; if all are
 null, all are responses. Rows that repeat the least page_id with its payload are all responses. An empty table gives an
@@ -15,10 +16,11 @@ empty one; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, ship
+from millrace.llm.common import Scratch, ship, whole_groups
 
 REVISIT_BYTES, SEGMENT, BROADCAST_ROWS = 100, 4 << 20, 200_000
 #: Pages carry no capture time; by default page n counts as captured n seconds after this one.
@@ -37,8 +39,11 @@ _NAMES = [x.split()[0] for x in RUN.split(", ")]
 
 
 def url_key(url: str | None) -> str:
-    """Host labels reversed, then path and query, in lower case: com,example)/path?query."""
-    parts = urlsplit((url or "").strip().lower()) if "[" not in (url or "") else urlsplit("")
+    """Host labels reversed, then path and query, in lower case: com,example)/path?query. What isn't a URL is its own key."""
+    try:
+        parts = urlsplit((url or "").strip().lower())
+    except ValueError:
+        return (url or "").strip().lower()
     host = re.sub(r"^www\d*\.", "", parts.netloc.rpartition("@")[2].partition(":")[0])
     if not host:
         return (url or "").strip().lower()
@@ -159,7 +164,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 class LoserTree:
     """Merges sorted runs: inner nodes hold the loser of their match, so each next row costs one path of comparisons."""
 
-    def __init__(self, runs: list[list], key: Callable) -> None:
+    def __init__(self, runs: list[Iterable], key: Callable) -> None:
         self.runs = [iter(r) for r in runs]
         self.key = key
         self.size = max(1, len(runs))
@@ -202,26 +207,54 @@ class LoserTree:
 def merge_runs(runs: DataFrame, scratch: Scratch, rows_per_range: int = 200_000) -> DataFrame:
     """All captures in global order of URL key, timestamp and page_id."""
     runs = scratch.cut(runs)
-    ranges = max(1, -(-runs.count() // rows_per_range))
-    at_least = runs.sparkSession.sparkContext.defaultParallelism
-    dealt = runs.repartitionByRange(max(ranges, at_least), "url_key", "timestamp", F.col("page_id").asc_nulls_last(), "segment", "start")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[tuple]] = {}
+    ranges = max(-(-runs.count() // rows_per_range), runs.sparkSession.sparkContext.defaultParallelism)
+    place = [F.col("url_key"), F.col("timestamp"), F.col("page_id").isNull().alias("none"), F.coalesce("page_id", F.lit(0)).alias("page"), F.col("segment"), F.col("start")]
+    dealt = runs.select(*place).repartitionByRange(ranges, "url_key", "timestamp", "none", "page", "segment", "start")
+    firsts = dealt.groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct(*dealt.columns)).alias("first"))
+    # one row for each range
+    bounds = sorted(tuple(r.first) for r in firsts.select("first").collect())[1:]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                slices.setdefault(row[8], []).append(row)
-        for own in slices.values():
-            own.sort(key=_order)  # linear where a fetch kept the run's order
-        held = []
-        for row in LoserTree([slices[s] for s in sorted(slices)], _order):
-            held.append(row)
-            if len(held) == 8192:
-                yield _rows(held)
+            keys = [_order(row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            own = [(key[4], bisect.bisect_right(bounds, key)) for key in keys]
+            edges = [i for i in range(len(own)) if i == 0 or own[i] != own[i - 1] or keys[i] < keys[i - 1]] + [len(own)]
+            slices = [_packed(batch.slice(a, b - a)) for a, b in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([own[a][1] for a in edges[:-1]], pa.int64()), pa.array([own[a][0] for a in edges[:-1]], pa.string()), pa.array(slices, pa.binary())], ["range", "segment", "slice"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, _ in whole_groups(batches, ["range"]):
+            for own in _by_range(group):
                 held = []
-        yield _rows(held)
+                for row in LoserTree([_unpacked(x.as_buffer()) for x in own.column("slice")], _order):
+                    held.append(row)
+                    if len(held) == 8192:
+                        yield _rows(held)
+                        held = []
+                yield _rows(held)
+
+    slices = runs.select(*_NAMES).mapInArrow(cut, "range bigint, segment string, slice binary")
+    return slices.repartitionByRange(ranges, "range").sortWithinPartitions("range", "segment").mapInArrow(merge, RUN)
+
+
+def _by_range(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    names = group.column("range").to_pylist()
+    edges = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
+    return (group.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False))
+
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for at in range(0, rows.num_rows, 1024):
+            out.write_batch(rows.slice(at, 1024))
+    return sink.getvalue().to_pybytes()
+
 
-    return dealt.mapInArrow(run, RUN)
+def _unpacked(data: pa.Buffer) -> Iterator[tuple]:
+    """The rows of a slice, a block at a time."""
+    for block in pa.ipc.open_stream(data):
+        yield from zip(*(c.to_pylist() for c in block.columns), strict=True)
 
 
 def export(segments: DataFrame, folder: str) -> list[str]:
