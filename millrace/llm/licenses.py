@@ -6,12 +6,13 @@ paragraphs, and its unknown class takes every paragraph whose best family stays
 prediction is confirmed by comparing the paragraph with its family's notices: the share of a notice's bigrams that it has.
 
 Scoring: a paragraph is a line of the text, or some adjacent lines joined (``WINDOWS``), as notices are wrapped in source
-files. Joined lines count only where they are confirmed; of paragraphs that overlap a single line stays, then the
-one that has most of a notice. Only paragraphs with two or more different words of the notices can be
-predicted at all; their n-grams meet the weights, a table of bounded size, in a broadcast join and are summed.
+files; joined lines begin at one that has a word of the notices (other than ``STOPS``). Joined lines count only where
+they are confirmed; of paragraphs that overlap a single line stays, then the one that has most of a notice. Only
+paragraphs with two or more different words of the notices can be predicted at all; their n-grams meet the weights, a
+table of bounded size, in a broadcast join and are summed. Each line is cut into words once.
 
-Rows: null and empty texts have no paragraphs. In the report, rows that share a doc_id (a null one too) count as one
-document and each show all its findings; an empty table gives an empty one; other columns are ignored.
+Rows: null and empty texts have no paragraphs. Every row is reported on its own, whatever its doc_id (null or repeated);
+an empty table gives an empty one; other columns are ignored. A text's words are held together in one task.
 """
 
 from __future__ import annotations
@@ -166,18 +167,33 @@ def default_model() -> Classifier:
 def license_paragraphs(docs: DataFrame, model: Classifier | None = None, cover: float = COVER) -> DataFrame:
     """Paragraphs with a known family: row (of the input), doc_id, paragraph (its first line), lines, family, probability, cover, confirmed;
     those under the calibrated probability have the family ``unknown``."""
+    return _scanned(docs, model, cover)[1]
+
+
+def _scanned(docs: DataFrame, model: Classifier | None, cover: float = COVER) -> tuple[DataFrame, DataFrame]:
+    """All rows (row, doc_id), and ``license_paragraphs``."""
     spark = docs.sparkSession
     model = model or default_model()
     scratch = Scratch(spark, "licences")
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    # in the array, so that no exploded row carries the whole text
-    window = lambda i, n: F.struct(i.alias("paragraph"), F.lit(n).alias("lines"), F.array_join(F.slice("parts", i + 1, F.lit(n)), "\n").alias("line"))
-    cuts = F.flatten(F.transform("parts", lambda x, i: F.filter(F.array(*[window(i, n) for n in WINDOWS]), lambda w: (w["lines"] == 1) | (F.trim(x) != "") & (i + w["lines"] <= F.size("parts")))))
-    every = rows.withColumn("parts", F.split("text", "\n")).select("row", "doc_id", F.explode(cuts).alias("w")).select("row", "doc_id", "w.*").withColumn("words", token_column("line"))
     known = F.array(*[F.lit(w) for w in model.words])
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.transform(F.split("text", "\n"), token_column).alias("parts"))
+    rows = rows.withColumn("hits", F.transform("parts", lambda words: F.size(F.array_intersect(words, known))))
+    none = "paragraph:int,lines:int,words:array<string>"
+
+    def windows(n: int) -> Column:
+        """Paragraphs of n lines; of several lines those that begin at a hit and have two."""
+        inside = lambda i: i + n <= F.size("hits")
+        hits = lambda i: F.aggregate(F.slice("hits", i + 1, F.lit(n)), F.lit(0), lambda s, x: s + x)
+        begin = F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda i: inside(i) & (F.get("hits", i) >= 1) & (hits(i) >= 2))
+        return F.transform(begin, lambda i: F.struct(i.alias("paragraph"), F.lit(n).alias("lines"), F.flatten(F.slice("parts", i + 1, F.lit(n))).alias("words")))
+
+    # every row has a first entry without words, so that rows and paragraphs are numbered in one pass
+    mark = F.array(F.struct(F.lit(-1).alias("paragraph"), F.lit(0).alias("lines"), F.array().cast("array<string>").alias("words")))
+    cuts = F.when(F.col("parts").isNull(), F.array().cast(f"array<struct<{none}>>")).otherwise(F.concat(*[windows(n) for n in WINDOWS]))
+    every = rows.select("row", "doc_id", F.explode(F.concat(mark, cuts)).alias("w")).select("row", "doc_id", "w.*")
     # stored with a key of their own: later joins need no more than it
-    likely = every.filter(F.size(F.array_intersect("words", known)) >= 2)
-    likely = scratch.cut(likely.select(F.concat_ws(":", "row", "paragraph", "lines").alias("key"), "row", "doc_id", "paragraph", "lines", "words"))
+    every = scratch.cut(every.filter((F.col("lines") == 0) | (F.size(F.array_intersect("words", known)) >= 2)).select(F.concat_ws(":", "row", "paragraph", "lines").alias("key"), "row", "doc_id", "paragraph", "lines", "words"))
+    likely = every.filter("lines > 0")
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
     likely = likely.withColumn("bigrams", F.when(F.size("words") > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>")))
     # joined lines count only if confirmed, so those that can't be needn't be scored
@@ -209,19 +225,20 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None, cover:
     here = F.struct("paragraph", "lines")
     own = F.exists("chosen", lambda y: (y["paragraph"] == F.col("paragraph")) & (y["lines"] == F.col("lines")))
     stays = F.when(F.col("confirmed"), own).otherwise((F.col("lines") == 1) & ~F.exists("chosen", lambda y: meet(here, y)))
-    return met.filter(stays).select("row", "doc_id", "paragraph", "lines", "family", "probability", "cover", "confirmed")
+    found = met.filter(stays).select("row", "doc_id", "paragraph", "lines", "family", "probability", "cover", "confirmed")
+    return every.filter("lines = 0").select("row", "doc_id"), found
 
 
 def license_report(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     """By row: doc_id, n_licenses (confirmed paragraphs), families (sorted, comma-joined), findings (paragraph:family,
     in order) and n_unknown (likely paragraphs that stay without a confirmed family)."""
-    found = license_paragraphs(docs, model)
+    rows, found = _scanned(docs, model)
     sure = F.col("confirmed")
-    by_doc = found.groupBy(F.col("doc_id").alias("own_id")).agg(
+    by_row = found.groupBy("row").agg(
         F.array_sort(F.collect_set(F.when(sure, F.struct("paragraph", "family")))).alias("sure"),
         F.size(F.collect_set(F.when(~sure, F.col("paragraph")))).cast("long").alias("n_unknown"),
     )
-    met = docs.select("doc_id").join(by_doc, F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
+    met = rows.join(by_row, "row", "left")
     listed = lambda value: F.coalesce(F.array_join(value, ","), F.lit(""))
     return met.select(
         "doc_id",

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -290,3 +291,50 @@ def test_passages_cover_whole_texts():
     x, begins = next(iter(quality.passages(texts)))
     assert begins.tolist() == [0, 3, 4, 6]
     assert (x[:, -1] * quality.PASSAGE).round().tolist() == [600, 600, 300, 0, 600, 200]
+
+
+def test_licenses_by_row_and_brute_force(spark):
+    # rows of no or one doc_id are on their own; notices in words and layouts that the training doesn't have
+    mit = licenses.NOTICES["mit"][2]
+    rows = [(None, "plain words about rivers"), (None, "The file begins here.\n" + mit), (5, "nothing"), (5, "NOTE -- " + licenses.NOTICES["apache-2.0"][1].upper())]
+    got = sorted((r.doc_id or 0, r.n_licenses, r.families) for r in licenses.license_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(0, 0, ""), (0, 1, "mit"), (5, 0, ""), (5, 1, "apache-2.0")]
+    # single lines scored in Python
+    model, names = licenses.default_model(), list(licenses.NOTICES)
+    texts = [mit + " and so on", "Public domain software by the author, free to copy.", "We walked by the river.", "License terms of the GNU General Public License apply, version 3 or later.", *[n.replace(",", " ,") + " (see file)" for own in licenses.NOTICES.values() for n in own]]
+    at = {g: i for i, g in enumerate(model.vocabulary)}
+    want = {}
+    for i, t in enumerate(texts):
+        words = licenses.tokens(t)
+        if len(set(words) & set(model.words)) < 2:
+            continue
+        own = [at[g] for g in licenses.grams(words) if g in at]
+        p = model._softmax(((model.weights[own].sum(axis=0) + model.bias) / model.temperature)[None])[0]  # noqa: SLF001
+        k = int(p[1:].argmax())
+        family = names[k] if p[k + 1] >= model.least else "unknown"
+        bigrams = {g for g in licenses.grams(words) if " " in g}
+        share = max((len(bigrams & b) / len(b) for n in licenses.NOTICES.get(family, []) if (b := {g for g in licenses.grams(licenses.tokens(n)) if " " in g})), default=0)
+        want[i] = (family, round(float(p[k + 1]), 6), round(share, 6))
+    found = licenses.license_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.family, round(r.probability, 6), round(r.cover, 6)) for r in found} == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text())
+def test_every_string_has_a_url_key(text):
+    assert isinstance(warc.url_key(text), str)
+    assert isinstance(warc.url_key("http://" + text), str)
+
+
+def test_url_keys_of_no_urls():
+    assert warc.url_key("http://a]b/") == "http://a]b/"
+    assert warc.url_key("http://[x/") == "http://[x/"
+    assert warc.url_key("http://www.Example.com/A?b") == "com,example)/a?b"
+
+
+def test_secret_overlaps_are_linear():
+    text = " ".join(f"token={i:016x}" for i in range(30_000))
+    base = secrets.base_spans(text)
+    began = time.process_time()
+    secrets.model_spans(text, base, secrets.train(secrets.labelled_samples()))
+    assert time.process_time() - began < 5
