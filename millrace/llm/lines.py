@@ -7,8 +7,9 @@ shingle. Equal lines (equal 128-bit fingerprints) are one class.
    shuffle, so copies of a line cost one row). The nine minima are the points of the affine plane of order three, and its
    twelve lines of three points are the bands: any five equal minima hold a whole band.
 2. Classes with an equal band are in one bucket. A bucket of two is a pair; in a larger one each class is paired with the
-   class that the most others meet, likely the middle of a family. Pairs are compared exactly, on full shingle sets, and
-   links go through union-find.
+   class that the most others meet, likely the middle of a family. Pairs whose bitmaps of shingles differ in more bits
+   than near sets' can are ruled out, without loss; the others are compared exactly, on full shingle sets, and links go
+   through union-find.
 3. In buckets whose classes are still in more than one group, all classes of different groups are compared the same way,
    block against block, each pair in the first bucket that it shares. So all that share a bucket are compared or joined.
 4. The first line of each component, by doc_id and line number, stays.
@@ -42,6 +43,8 @@ UNROLL = 4
 BROADCAST_KEYS = 500_000
 #: Lines of a bucket, and their characters, that are compared at once with as many others.
 BLOCK, BLOCK_CHARS = 512, 1 << 18
+#: 64-bit words of a line's bitmap of shingles, a power of two.
+WORDS = 8
 
 _BITS = 1 << 30  # of a text's hash, to tell apart rows of one doc_id
 _LAST = Decimal(1 << 63)  # in place of a null doc_id
@@ -116,18 +119,38 @@ def _near(x: str, y: str, percent: int) -> str:
     return f"{sizes} AND {100 + percent} * size(array_intersect({x}, {y})) >= {percent} * (size({x}) + size({y}))"
 
 
-def _confirm(pairs: DataFrame, seen: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
+    """id and bits of the lines: n, their shingles counted with repeats, and w0 ..., a bitmap of the shingles' hashes."""
+    coded = texts.select("id", F.encode("norm", "UTF-32").alias("b"))
+    at = coded.select("id", "b", F.explode(F.expr(f"sequence(1, greatest(octet_length(b) - {4 * shingle - 1}, 1), 4)")).alias("i"))
+    hashed = at.select("id", F.expr(f"hash(substring(b, i, {4 * shingle}))").alias("h"))
+    words = [F.expr(f"bit_or(if((shiftright(h, 6) & {WORDS - 1}) = {w}, shiftleft(1L, h), 0L))").alias(f"w{w}") for w in range(WORDS)]
+    made = hashed.groupBy("id").agg(F.count("*").alias("n"), *words)
+    return made.select("id", F.struct("n", *[f"w{w}" for w in range(WORDS)]).alias("bits"))
+
+
+def _may_be_near(x: str, y: str, percent: int) -> str:
+    """SQL that holds for all near pairs: of near sets at most (100 - percent) / (100 + percent) of the sizes' sum is in one
+    set alone, and a bit in which their bitmaps differ takes one such shingle at least."""
+    differing = " + ".join(f"bit_count({x}.w{w} ^ {y}.w{w})" for w in range(WORDS))
+    return f"{100 + percent} * ({differing}) <= {100 - percent} * ({x}.n + {y}.n)"
+
+
+def _confirm(pairs: DataFrame, seen: DataFrame, bitmaps: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links among the pairs, on full shingle sets."""
     side = lambda key, name: seen.select(F.col("id").alias(key), F.col("norm").alias(name))
-    met = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
+    bits = lambda key, name: bitmaps.select(F.col("id").alias(key), F.col("bits").alias(name))
+    likely = pairs.join(bits("u", "p"), "u").join(bits("v", "q"), "v").filter(_may_be_near("p", "q", percent)).select("u", "v")
+    met = likely.join(side("u", "x"), "u").join(side("v", "y"), "v")
     # the generators keep the optimizer from copying an expression into each of its uses
     coded = met.select("u", "v", F.explode(F.array(F.struct(F.encode("x", "UTF-32").alias("x"), F.encode("y", "UTF-32").alias("y")))).alias("b")).select("u", "v", "b.*")
     sets = coded.select("u", "v", F.explode(F.expr(f"array(struct({_grams('x', shingle)} AS x, {_grams('y', shingle)} AS y))")).alias("s"))
     return sets.filter(_near("s.x", "s.y", percent)).select("u", "v")
 
 
-def _cross_links(members: DataFrame, groups: DataFrame, seen: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v) between groups that share a bucket: each pair of their classes is compared in the first bucket it shares."""
+def _cross_links(members: DataFrame, groups: DataFrame, seen: DataFrame, bitmaps: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) between groups that share a bucket: each pair of their classes is compared in the first bucket it shares,
+    by bitmaps first, then, of the lines that this leaves in a block, on full shingle sets."""
     texts = seen.filter("norm IS NOT NULL").select("id", "norm")
     named = members.join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id", "left").join(texts.select("id", F.length("norm").alias("size")), "id")
     named = scratch.cut(named.select("node", "id", F.coalesce("group", "id").alias("group"), "size", "earlier"))
@@ -135,14 +158,22 @@ def _cross_links(members: DataFrame, groups: DataFrame, seen: DataFrame, scratch
     print_of = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
     alike = named.groupBy("node").agg(F.min(F.size("earlier")).alias("at"), F.count("*").alias("n"), *print_of).groupBy("n", "s0", "s1").agg(F.min(F.struct("at", "node")).alias("one"))
     named = scratch.cut(named.join(_small(scratch.cut(alike.select(F.col("one.node").alias("node")))), "node", "left_semi"))
-    dealt = cross_blocks(named.drop("earlier"), BLOCK, BLOCK_CHARS).join(named.select("node", "id", "earlier"), ["node", "id"]).join(texts, "id")
-    row = F.struct("group", F.when(F.col("low") != F.col("high"), F.col("own")).alias("own"), "earlier", F.encode("norm", "UTF-32").alias("b"))
-    blocks = dealt.groupBy("node", "low", "high").agg(F.collect_list(row).alias("all"))
-    # a block's sets are made once; the generator keeps them from being made again for each use
-    made = blocks.select(F.explode(F.expr(f"array(transform(all, m -> struct(m.group AS group, m.own AS own, m.earlier AS earlier, {_grams('m.b', shingle)} AS g)))")).alias("all"))
-    wanted = f"x.group < y.group AND (x.own IS NULL OR x.own <> y.own) AND NOT arrays_overlap(x.earlier, y.earlier) AND {_near('x.g', 'y.g', percent)}"
-    links = F.expr(f"array_distinct(flatten(transform(all, x -> transform(filter(all, y -> {wanted}), y -> struct(x.group AS u, y.group AS v)))))")
-    return made.select(F.explode(links).alias("l")).select("l.u", "l.v").distinct()
+    dealt = cross_blocks(named.drop("earlier"), BLOCK, BLOCK_CHARS).join(named.select("node", "id", "earlier"), ["node", "id"])
+    dealt = scratch.cut(dealt.select("node", "low", "high", "id", "group", F.when(F.col("low") != F.col("high"), F.col("own")).alias("own"), "earlier"))
+    block = ["node", "low", "high"]
+    wanted = f"x.group < y.group AND (x.own IS NULL OR x.own <> y.own) AND {_may_be_near('x.bits', 'y.bits', percent)} AND NOT arrays_overlap(x.earlier, y.earlier)"
+
+    def met(rows: DataFrame, row: Column) -> DataFrame:
+        every = rows.groupBy(*block).agg(F.collect_list(row).alias("all"))
+        return every.select(*block, "all", F.explode("all").alias("x")).select(*block, "x", F.explode("all").alias("y")).filter(wanted)
+
+    marked = dealt.join(bitmaps, "id")
+    live = met(marked, F.struct("id", "group", "own", "earlier", "bits")).select(*block, F.explode(F.array("x.id", "y.id")).alias("id")).distinct()
+    left = marked.join(scratch.cut(live), [*block, "id"], "left_semi").join(texts, "id").select(*block, "group", "own", "earlier", "bits", F.encode("norm", "UTF-32").alias("b"))
+    # a line's set is made once a block; the generator keeps it from being made again for each use
+    sets = left.select("*", F.explode(F.expr(f"array({_grams('b', shingle)})")).alias("g"))
+    near = met(sets, F.struct("group", "own", "earlier", "bits", "g")).filter(_near("x.g", "y.g", percent))
+    return near.select(F.col("x.group").alias("u"), F.col("y.group").alias("v")).distinct()
 
 
 def _placed(docs: DataFrame, shingle: int, percent: int, min_chars: int) -> DataFrame:
@@ -153,8 +184,9 @@ def _placed(docs: DataFrame, shingle: int, percent: int, min_chars: int) -> Data
     pairs, members = _members(classes, scratch)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     seen = _seen(lines, classes, wanted, scratch)
-    groups = scratch.cut(components(_confirm(pairs, seen, shingle, percent), scratch))
-    links = scratch.cut(_cross_links(members, groups, seen, scratch, shingle, percent))
+    bitmaps = scratch.cut(_bitmaps(seen.filter("norm IS NOT NULL"), shingle))
+    groups = scratch.cut(components(_confirm(pairs, seen, bitmaps, shingle, percent), scratch))
+    links = scratch.cut(_cross_links(members, groups, seen, bitmaps, scratch, shingle, percent))
     if links.limit(1).count():
         groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), scratch)
     named = seen.select("id", "place").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").join(classes.select("id", "k1", "k2", "n"), "id")
