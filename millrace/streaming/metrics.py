@@ -1,16 +1,20 @@
-"""Metrics of running queries: a backend protocol, StatsD lines, a progress listener, health files, a watchdog, retries."""
+"""Metrics of running queries: a backend protocol, StatsD lines, a progress listener, deliveries, error names, health files,
+a watchdog, retries."""
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import threading
 import time
 import traceback
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from typing import Any, Protocol
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -135,7 +139,10 @@ class ProgressListener(StreamingQueryListener):
             self.health.touch()
 
     def onQueryTerminated(self, event: Any) -> None:  # noqa: N802
-        self.metrics.increment("query.failed" if event.exception else "query.stopped")
+        if event.exception:
+            self.metrics.increment("query.failed", 1, {"error": error_name(event.exception)})
+        else:
+            self.metrics.increment("query.stopped")
 
 
 def kafka_statistics(text: str, metrics: Metrics) -> None:
@@ -154,6 +161,60 @@ def kafka_statistics(text: str, metrics: Metrics) -> None:
                 metrics.gauge(f"producer.librdkafka.{name}", own[key], tags)
 
 
+_JAVA_CLASS = re.compile(r"^(?:Caused by: |: )?((?:[a-z_]\w*\.)+[A-Z][\w$]*)(?=:|\s*$)", re.MULTILINE)
+
+
+def error_name(error: BaseException | str) -> str:
+    """A short name of an error for logs and tags: the class of its innermost Java cause if its text tells one, without
+    package and ending; else its condition, as Spark names it, or its own class."""
+    causes = _JAVA_CLASS.findall(str(error))
+    if causes:
+        return re.sub(r"(?<=.)(Exception|Error)$", "", re.split(r"[.$]", causes[-1])[-1])
+    if isinstance(error, PySparkException) and error.getCondition():
+        return error.getCondition()
+    return type(error).__name__ if isinstance(error, BaseException) else "Unknown"
+
+
+class Deliveries:
+    """Counts deliveries by status and keeps their latencies; reports both at most once in ``every`` seconds, and when
+    flushed. Latencies are milliseconds."""
+
+    def __init__(self, name: str | None = None, metrics: Metrics | None = None, every: float = 1.0, clock: Callable[[], float] = time.time) -> None:
+        self.name, self.metrics, self.every, self.clock = name, metrics or get_metrics(), every, clock
+        self._lock, self._counts, self._times, self._last = threading.Lock(), {}, [], clock()
+
+    @contextmanager
+    def one(self) -> Iterator[None]:
+        """Around one delivery; an error counts as such and goes on."""
+        begun = self.clock()
+        try:
+            yield
+        except BaseException:
+            self._note("error", begun)
+            raise
+        self._note("success", begun)
+
+    def _note(self, status: str, begun: float) -> None:
+        now = self.clock()
+        with self._lock:
+            self._counts[status] = self._counts.get(status, 0) + 1
+            self._times.append((now - begun) * 1000)
+            due = now - self._last > self.every
+        if due:
+            self.flush()
+
+    def flush(self) -> None:
+        with self._lock:
+            counts, self._counts = self._counts, {}
+            times, self._times = self._times, []
+            self._last = self.clock()
+        named = {"producer_name": self.name} if self.name else {}
+        for status, count in counts.items():
+            self.metrics.increment("producer.produce_status", count, {"status": status} | named)
+        for ms in times:
+            self.metrics.timing("producer.callback_latency", ms, named or {"producer_name": "N/A"})
+
+
 class HealthFile:
     """A file that is touched at most once in ``every`` seconds while the query makes progress."""
 

@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.session import files_of
 from millrace.operators import dlq
-from millrace.streaming.metrics import ProgressListener, Watchdog
+from millrace.streaming.metrics import Deliveries, ProgressListener, Watchdog
 
 Build = Callable[[DataFrame], DataFrame]
 Sink = Callable[[DataFrame, int], None]
@@ -54,6 +54,16 @@ def noop_sink(df: DataFrame, batch_id: int) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def measured(sink: Sink, deliveries: Deliveries) -> Sink:
+    """The sink, with status and latency of its deliveries reported; a micro-batch is one delivery."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        with deliveries.one():
+            sink(df, batch_id)
+
+    return write
+
+
 class Counters:
     """Counters of the dead-letter limits by batch id, as small tables in a folder; without one, in memory."""
 

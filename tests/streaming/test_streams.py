@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import pstats
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from millrace.sources.consumer import Closed, EndOfPartition, LogConsumer, LogPr
 from millrace.sources.log import LogStore, OffsetOutOfRange, PartitionDoesNotExist, TopicDoesNotExist, TopicExists, _LogStreamReader, register
 from millrace.streaming import metrics, processor
 from millrace.streaming.metric_names import FROM_PROGRESS, NAMES
+from millrace.streaming.profile import profiled
 from millrace.streaming.stateful import BatchProcessor, batch_stream, limit_stream
 
 T0 = dt.datetime(2024, 1, 1)
@@ -246,6 +248,86 @@ def test_consumer_and_producer(spark, store):
     assert late.poll() is None
 
 
+def test_commits_are_tried_again(spark, store):
+    lines, pauses, calls = [], [], []
+    metrics.configure_metrics(metrics.StatsdMetrics("m", lines.append), force=True)
+    store.produce(messages(spark, range(2)), "t", ["n"])
+    consumer = LogConsumer(store, "g", sleep=pauses.append)
+    consumer.subscribe("t")
+    commit, fails = consumer.offsets.commit, [OSError("x")] * 2
+
+    def flaky(topic, offsets):
+        calls.append(offsets)
+        if fails:
+            raise fails.pop()
+        commit(topic, offsets)
+
+    consumer.offsets.commit = flaky
+    consumer.stage_offsets({0: 1})
+    assert consumer.commit_offsets() == {0: 1}
+    assert (len(calls), pauses) == (3, [1.0, 1.0])
+    assert consumer.offsets.read("t") == {0: 1}
+    fails[:] = [OSError("x")] * 3
+    consumer.stage_offsets({0: 2})
+    with pytest.raises(metrics.RetryError):
+        consumer.commit_offsets()
+    fails[:] = [KeyError("not a fault of the file system")]
+    with pytest.raises(KeyError):
+        consumer.commit_offsets()
+    assert consumer.commit_offsets() == {0: 2}
+    assert consumer.commit_offsets() == {}
+    assert [x.split("#status:")[1] for x in lines] == ["success,group_id:g", "error,group_id:g", "error,group_id:g", "success,group_id:g"]
+
+
+def test_deliveries(spark):
+    lines, now = [], [0.0]
+    deliveries = metrics.Deliveries("p", metrics.StatsdMetrics("m", lines.append), clock=lambda: now[0])
+    with deliveries.one():
+        now[0] = 0.5
+    assert not lines
+    sink = processor.measured(lambda df, batch_id: now.__setitem__(0, 2.0) if batch_id == 0 else 1 / 0, deliveries)
+    sink(None, 0)
+    assert lines == ["m.producer.produce_status:2|c|#status:success,producer_name:p", "m.producer.callback_latency:500|ms|#producer_name:p", "m.producer.callback_latency:1500|ms|#producer_name:p"]
+    with pytest.raises(ZeroDivisionError):
+        sink(None, 1)
+    assert len(lines) == 3
+    deliveries.flush()
+    assert lines[3:] == ["m.producer.produce_status:1|c|#status:error,producer_name:p", "m.producer.callback_latency:0|ms|#producer_name:p"]
+    deliveries.flush()
+    assert len(lines) == 5
+    nameless = metrics.Deliveries(None, metrics.StatsdMetrics("m", lines.append), clock=lambda: 0.0)
+    with nameless.one():
+        pass
+    nameless.flush()
+    assert lines[5:] == ["m.producer.produce_status:1|c|#status:success", "m.producer.callback_latency:0|ms|#producer_name:N/A"]
+
+
+def test_error_names(spark):
+    assert metrics.error_name(KeyError("a")) == "KeyError"
+    assert metrics.error_name("nothing known") == "Unknown"
+    text = "An error occurred while calling o1.x.\n: org.apache.spark.SparkException: Job aborted\n\tat a.b.C.d(C.java:1)\nCaused by: org.apache.kafka.common.errors.TopicAuthorizationException: no\n\tat x.Y.z(Y.java:2)"
+    assert metrics.error_name(text) == "TopicAuthorization"
+    with pytest.raises(Exception) as caught:  # noqa: PT011
+        spark.range(1).select("missing")
+    assert metrics.error_name(caught.value).startswith("UNRESOLVED_COLUMN")
+
+
+def test_profiles(spark, tmp_path):
+    def double(n):
+        return 2 * n
+
+    with pytest.raises(NotADirectoryError), profiled(spark, str(tmp_path / "none")):
+        pass
+    with profiled(spark, str(tmp_path)):
+        assert [r[0] for r in spark.range(3).select(F.udf(double, "long")("id")).collect()] == [0, 2, 4]
+    with pytest.raises(ZeroDivisionError), profiled(spark, str(tmp_path)):
+        1 / 0  # noqa: B018
+    assert len(list(tmp_path.glob("*.prof"))) == 2
+    (udf,) = tmp_path.glob("udf_*_perf.pstats")
+    assert any(name == "double" for _, _, name in pstats.Stats(str(udf)).stats)
+    assert spark.conf.get("spark.sql.pyspark.udf.profiler", None) is None
+
+
 def test_client_statistics():
     lines = []
     metrics.kafka_statistics(json.dumps({"msg_cnt": 3, "brokers": {"b": {"nodeid": 1, "rtt": {"p99": 2500}, "txerrs": 0}}}), metrics.StatsdMetrics("m", lines.append))
