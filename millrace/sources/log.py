@@ -17,6 +17,9 @@ from pyspark.sql.types import StructType
 from millrace.functions.envelope import ENVELOPE, no_headers, seek, watermarks
 from millrace.functions.session import ship
 
+#: Offsets that a task of the Python source reads, and rows that it turns into Python objects at once.
+OFFSETS_PER_TASK, READ_ROWS = 1_000_000, 4_096
+
 
 class TopicExists(ValueError):
     """The topic is there already."""
@@ -141,42 +144,89 @@ class _Range(InputPartition):
         self.partition, self.start, self.end = partition, start, end
 
 
-def _rows(path: str, topic: str, part: _Range):
-    """Rows of one partition's files, by offset. Files are read here in Python, so the path must be mounted."""
-    import pyarrow.dataset as ds
-
-    folder = f"{path.removeprefix('file://')}/data/topic={topic}/partition={part.partition}"
-    try:
-        found = ds.dataset(folder, format="parquet").to_table(filter=(ds.field("offset") >= part.start) & (ds.field("offset") < part.end))
-    except FileNotFoundError:
-        return
-    for row in found.sort_by("offset").to_pylist():
-        headers = [(h["key"], h["value"]) for h in row["headers"] or ()]
-        time = row["timestamp"]
-        if time is not None:
-            time = pd.Timestamp(time)
-            time = (time.tz_localize("UTC") if time.tzinfo is None else time).to_pydatetime(warn=False)
-        yield (topic, part.partition, row["offset"], time, row["key"], row["value"], headers)
+def _split(ranges: list[_Range], options: dict) -> list[_Range]:
+    """Ranges of at most ``offsetsPerTask`` offsets, so that a long log partition is read by many tasks."""
+    step = int(options.get("offsetspertask", OFFSETS_PER_TASK))
+    if step < 1:
+        raise ValueError("offsetsPerTask must be positive")
+    return [_Range(r.partition, a, min(a + step, r.end)) for r in ranges for a in range(r.start, r.end, step)]
 
 
-def _ends(path: str, topic: str) -> dict[str, int]:
+#: Row groups of files that were looked at before: files don't change once they are written.
+_known: dict[str, list[tuple[int, int, int]]] = {}
+
+
+def _row_groups(folder: str) -> list[tuple[int, int, str, int]]:
+    """(least offset, greatest offset, file, row group) of a log partition's files by offset, from their footers."""
     import os
 
-    import pyarrow.dataset as ds
+    import pyarrow.parquet as pq
+
+    names = [n for n in os.listdir(folder) if n.endswith(".parquet") and n[0] not in "._"] if os.path.isdir(folder) else []
+    out = []
+    for path in (os.path.join(folder, n) for n in names):
+        if path not in _known:
+            with pq.ParquetFile(path) as file:
+                about, groups = file.metadata, []
+                leaf = next(k for k in range(about.num_columns) if about.schema.column(k).path == "offset")
+                for g in range(about.num_row_groups):
+                    stats = about.row_group(g).column(leaf).statistics
+                    if about.row_group(g).num_rows == 0:
+                        continue
+                    if stats is not None and stats.has_min_max:
+                        groups.append((stats.min, stats.max, g))
+                    else:
+                        offsets = file.read_row_group(g, columns=["offset"])["offset"].to_numpy()
+                        groups.append((int(offsets.min()), int(offsets.max()), g))
+            _known[path] = groups
+        out += [(low, high, path, g) for low, high, g in _known[path]]
+    return sorted(out)
+
+
+def _folder(path: str, topic: str, partition: int) -> str:
+    return f"{path.removeprefix('file://')}/data/topic={topic}/partition={partition}"
 
+
+def _rows(path: str, topic: str, part: _Range):
+    """Rows of one partition's files, by offset. Files are read here in Python, so the path must be mounted. Row groups are
+    read one after the other; only those whose offsets overlap are held, and sorted, together."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    wanted = [g for g in _row_groups(_folder(path, topic, part.partition)) if g[0] < part.end and g[1] >= part.start]
+    at = 0
+    while at < len(wanted):
+        after, high = at + 1, wanted[at][1]
+        while after < len(wanted) and wanted[after][0] <= high:
+            high, after = max(high, wanted[after][1]), after + 1
+        tables = []
+        for _, _, file, group in wanted[at:after]:
+            with pq.ParquetFile(file) as opened:
+                table = opened.read_row_group(group)
+            tables.append(table.filter(pc.and_(pc.greater_equal(table["offset"], part.start), pc.less(table["offset"], part.end))))
+        at = after
+        for batch in pa.concat_tables(tables).sort_by("offset").to_batches(READ_ROWS):
+            for row in batch.to_pylist():
+                headers = [(h["key"], h["value"]) for h in row["headers"] or ()]
+                time = row["timestamp"]
+                if time is not None:
+                    time = pd.Timestamp(time)
+                    time = (time.tz_localize("UTC") if time.tzinfo is None else time).to_pydatetime(warn=False)
+                yield (topic, part.partition, row["offset"], time, row["key"], row["value"], headers)
+
+
+def _ends(path: str, topic: str) -> dict[str, int]:
+    """The next offset of every partition, from the files' footers: no offsets are read."""
     with open(f"{path.removeprefix('file://')}/_topics/{topic}.json", encoding="utf-8") as file:
         count = json.load(file)["partitions"]
-    ends = {}
-    for p in range(count):
-        folder = f"{path.removeprefix('file://')}/data/topic={topic}/partition={p}"
-        column = ds.dataset(folder, format="parquet").to_table(columns=["offset"])["offset"] if os.path.isdir(folder) else ()
-        ends[str(p)] = max(column.to_pylist(), default=-1) + 1 if len(column) else 0
-    return ends
+    return {str(p): max((high + 1 for _, high, _, _ in _row_groups(_folder(path, topic, p))), default=0) for p in range(count)}
 
 
 class LogDataSource(DataSource):
     """``format("millrace_log")``, options path, topic, startingOffsets and endingOffsets (earliest, latest or JSON by
-    partition), maxOffsetsPerTrigger and committed (a file that gets every finished end offset)."""
+    partition), maxOffsetsPerTrigger, offsetsPerTask and committed (a file that gets every finished end offset). Tasks read
+    ranges of offsets and give their rows in order."""
 
     @classmethod
     def name(cls) -> str:
@@ -219,7 +269,7 @@ class _LogReader(DataSourceReader):
         ends = _ends(self.path, self.topic)
         start = _chosen(self.options.get("startingoffsets"), ends, "earliest")
         end = _chosen(self.options.get("endingoffsets"), ends, "latest")
-        return [_Range(int(p), start[p], end[p]) for p in ends]
+        return _split([_Range(int(p), start[p], end[p]) for p in ends], self.options) or [_Range(0, 0, 0)]
 
     def read(self, partition):
         return _rows(self.path, self.topic, partition)
@@ -250,7 +300,7 @@ class _LogStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict):
         self.at = dict(end)
-        return [_Range(int(p), start.get(p, 0), o) for p, o in end.items() if o > start.get(p, 0)]
+        return _split([_Range(int(p), start.get(p, 0), o) for p, o in end.items()], self.options)
 
     def read(self, partition):
         return _rows(self.path, self.topic, partition)

@@ -2,6 +2,8 @@ import datetime as dt
 import json
 import pstats
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from millrace.functions import envelope as env
 from millrace.operators import dlq
 from millrace.sources import kafka
 from millrace.sources.consumer import Closed, EndOfPartition, LogConsumer, LogProducer
-from millrace.sources.log import LogStore, OffsetOutOfRange, PartitionDoesNotExist, TopicDoesNotExist, TopicExists, _LogStreamReader, register
+from millrace.sources.log import LogStore, OffsetOutOfRange, PartitionDoesNotExist, TopicDoesNotExist, TopicExists, _ends, _LogStreamReader, _Range, _rows, _split, register
 from millrace.streaming import metrics, processor
 from millrace.streaming.metric_names import FROM_PROGRESS, NAMES
 from millrace.streaming.profile import profiled
@@ -106,6 +108,8 @@ def test_source_by_offsets(spark, store, tmp_path):
     assert read(startingOffsets='{"0": 5}', endingOffsets='{"1": 1}') == [(0, 5), (0, 6), (1, 0)]
     with pytest.raises(Exception, match="OffsetOutOfRange|offset 99"):
         read(startingOffsets='{"0": 99}')
+    assert read(offsetsPerTask=2) == read()
+    assert spark.read.format("millrace_log").options(**options, offsetsPerTask=2).load().rdd.getNumPartitions() == 6
     rows = {}
     done = str(tmp_path / "committed.json")
     stream = spark.readStream.format("millrace_log").options(**options, committed=done).load()
@@ -119,6 +123,34 @@ def test_source_by_offsets(spark, store, tmp_path):
         assert json.load(file) == {"0": 7, "1": 3}
 
 
+def test_row_groups_are_read_in_order(tmp_path):
+    folder = tmp_path / "data/topic=t/partition=0"
+    folder.mkdir(parents=True)
+    (tmp_path / "_topics").mkdir()
+    (tmp_path / "_topics/t.json").write_text('{"partitions": 2}')
+
+    def write(name, offsets, size, **more):
+        columns = {"offset": pa.array(offsets, pa.int64()), "timestamp": pa.nulls(len(offsets), pa.timestamp("us")), "key": pa.nulls(len(offsets), pa.binary()), "value": [b"%d" % o for o in offsets]}
+        headers = pa.array([[{"key": "h", "value": b"1"}]] * len(offsets), pa.list_(pa.struct([("key", pa.string()), ("value", pa.binary())])))
+        pq.write_table(pa.table({"headers": headers} | columns), folder / name, row_group_size=size, **more)
+
+    write("b.parquet", [5, 4, 9, 3], 2)
+    write("a.parquet", [0, 1, 2, 8], 2, write_statistics=False)
+    write("c.parquet", [12, 10], 8)
+    write("empty.parquet", [], 8)
+    (folder / "_broken.parquet").write_bytes(b"")
+    root = f"file://{tmp_path}"
+    assert _ends(root, "t") == {"0": 13, "1": 0}
+    got = list(_rows(root, "t", _Range(0, 1, 11)))
+    assert [(r[2], r[5]) for r in got] == [(o, b"%d" % o) for o in (1, 2, 3, 4, 5, 8, 9, 10)]
+    assert got[0][6] == [("h", b"1")]
+    assert list(_rows(root, "t", _Range(0, 6, 8))) == []
+    assert list(_rows(root, "t", _Range(1, 0, 8))) == []
+    assert [(r.partition, r.start, r.end) for r in _split([_Range(0, 1, 6), _Range(1, 3, 3)], {"offsetspertask": "2"})] == [(0, 1, 3), (0, 3, 5), (0, 5, 6)]
+    with pytest.raises(ValueError, match="positive"):
+        _split([], {"offsetspertask": "0"})
+
+
 def test_stateful_batches_survive_a_restart(spark, store, tmp_path):
     batches = lambda: batch_stream(store.read_stream("t", 1), BatchProcessor(3))
     run = lambda: batches().writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
