@@ -6,12 +6,14 @@ shingle. Equal lines (equal 128-bit fingerprints) are one class.
 1. One scan explodes shingle positions and keeps, by fingerprint, the least value of nine hashes (aggregated before the
    shuffle, so copies of a line cost one row). The nine minima are the points of the affine plane of order three, and its
    twelve lines of three points are the bands: any five equal minima hold a whole band.
-2. Classes with an equal band are in one bucket. A bucket of two is a pair; in a larger one each class is paired with the
-   class that the most others meet, likely the middle of a family. Pairs whose bitmaps of shingles differ in more bits
-   than near sets' can are ruled out, without loss; the others are compared exactly, on full shingle sets, and links go
-   through union-find.
-3. In buckets whose classes are still in more than one group, all classes of different groups are compared the same way,
-   block against block, each pair in the first bucket that it shares. So all that share a bucket are compared or joined.
+2. Classes with an equal band are in one bucket. A bucket of two is a pair; in a larger one each class is paired with two
+   centers: the class that the most others meet, likely the middle of a family, and the shortest one, which holds the least
+   beside a passage that all share. A class has a sketch, in which each shingle of its set turns one of 1,024 bits over.
+   Pairs whose sketches differ in more bits than near sets' can are ruled out, without loss; the others are compared
+   exactly, on full shingle sets, and links go through union-find.
+3. In buckets whose classes are still in more than one group, all classes of different groups meet, block against block,
+   each pair in the first bucket that it shares; those that sketches leave are compared exactly. So all that share a bucket
+   are compared, ruled out without loss or joined.
 4. The first line of each component, by doc_id and line number, stays.
 
 Recall: a pair of similarity 0.8 shares a bucket with probability 0.990, one of 0.9 with 0.9996. Buckets are never held
@@ -41,10 +43,10 @@ BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4
 UNROLL = 4
 #: Most rows of at most some 60 bytes (fingerprints, ids, places) that are broadcast.
 BROADCAST_KEYS = 500_000
-#: Lines of a bucket, and their characters, that are compared at once with as many others.
-BLOCK, BLOCK_CHARS = 512, 1 << 18
-#: 64-bit words of a line's bitmap of shingles, a power of two.
-WORDS = 8
+#: Lines of a bucket, and their bytes in UTF-16, that are compared at once with as many others.
+BLOCK, BLOCK_BYTES = 512, 1 << 19
+#: 64-bit words of a line's sketch, a power of two.
+WORDS = 16
 
 _BITS = 1 << 30  # of a text's hash, to tell apart rows of one doc_id
 _LAST = Decimal(1 << 63)  # in place of a null doc_id
@@ -52,7 +54,9 @@ _LAST = Decimal(1 << 63)  # in place of a null doc_id
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, line_no, the line as compared, its fingerprint k1 and k2, and the text's own, t1 and t2."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # hashed before the lines are made, else a text is hashed again for each of its lines
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.split("text", "\n").alias("parts"))
+    texts = hashed.select("doc_id", "t1", "t2", F.posexplode("parts").alias("line_no", "line"))
     every = texts.select("doc_id", "t1", "t2", "line_no", F.lower(F.trim("line")).alias("norm")).filter(F.length("norm") >= max(min_chars, 1))
     return every.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(1), "norm")})
 
@@ -63,7 +67,7 @@ def _small(frame: DataFrame) -> DataFrame:
 
 
 def _classes(lines: DataFrame, shingle: int) -> DataFrame:
-    """id, k1, k2, n (lines) and keys (of the bands) of the different lines. Hash j's order is by exclusive or with a fixed number."""
+    """id, k1, k2, n (lines), size (in bytes) and keys (of the bands) of the different lines. Hash j's order is by exclusive or with a fixed number."""
     width = 2 * shingle  # bytes; UTF-16 gives constant-time substrings
     minima = 1 + max(p for band in BANDS for p in band)
     salts = [(0x9E3779B1 * (j + 1) & 0xFFFFFFFF) - (1 << 31) for j in range(minima)]
@@ -71,25 +75,28 @@ def _classes(lines: DataFrame, shingle: int) -> DataFrame:
     at = coded.select("k1", "k2", "b", F.explode(F.expr(f"sequence(1, greatest(octet_length(b) - {width - 1}, 1), {2 * UNROLL})")).alias("i"))
     hashed = at.select("k1", "k2", "b", "i", F.expr(f"hash(substring(b, i, {width}))").alias("h0"))
     more = [F.expr(f"if(i + {2 * j} <= octet_length(b) - {width - 1}, hash(substring(b, i + {2 * j}, {width})), h0)").alias(f"h{j}") for j in range(1, UNROLL)]
-    hashed = hashed.select("k1", "k2", F.expr("if(i = 1, 1L, 0L)").alias("one"), "h0", *more)
+    hashed = hashed.select("k1", "k2", F.expr("if(i = 1, 1L, 0L)").alias("one"), F.octet_length("b").alias("size"), "h0", *more)
     least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(s)) for j in range(UNROLL)])).alias(f"m{n}") for n, s in enumerate(salts)]
-    signed = hashed.groupBy("k1", "k2").agg(F.sum("one").alias("n"), *least)
+    signed = hashed.groupBy("k1", "k2").agg(F.sum("one").alias("n"), F.max("size").alias("size"), *least)
     keys = [F.xxhash64(F.lit(j), *[F.col(f"m{p}") for p in band]) for j, band in enumerate(BANDS)]
-    return signed.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", F.array(*keys).alias("keys"))
+    return signed.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", "size", F.array(*keys).alias("keys"))
 
 
 def _members(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u < v): buckets of two, and each member of a larger bucket with its middle; members (node, id, earlier) of larger
+    """Pairs (u < v): buckets of two, and each member of a larger bucket with its centers, the class that the most others meet
+    and the shortest one, which has the least beside a passage that all share; members (node, id, size, earlier) of larger
     buckets, with the keys of the bands before."""
     banded = classes.select("id", F.explode("keys").alias("node"))
     buckets = scratch.cut(banded.groupBy("node").agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count("*").alias("n")).filter("n > 1"))
     crowded = _small(buckets.filter("n > 2").select("node", "n"))
-    placed = classes.select("id", "keys", F.posexplode("keys").alias("at", "node")).join(crowded, "node")
-    members = scratch.cut(placed.select("node", "id", "n", F.slice("keys", F.lit(1), F.col("at")).alias("earlier")))
+    placed = classes.select("id", "size", "keys", F.posexplode("keys").alias("at", "node")).join(crowded, "node")
+    members = scratch.cut(placed.select("node", "id", "size", "n", F.slice("keys", F.lit(1), F.col("at")).alias("earlier")))
     met = members.groupBy("id").agg(F.sum("n").alias("met"))
-    middle = scratch.cut(members.select("node", "id").join(met, "id").groupBy("node").agg(F.max(F.struct("met", "id")).alias("m")).select("node", F.col("m.id").alias("middle")))
-    stars = members.select("node", "id").join(_small(middle), "node").filter("id <> middle").select(F.least("id", "middle").alias("u"), F.greatest("id", "middle").alias("v"))
-    return scratch.cut(buckets.filter("n = 2").select("u", "v").unionByName(stars).distinct()), members.select("node", "id", "earlier")
+    ranked = members.select("node", "id", "size").join(met, "id").groupBy("node")
+    centers = scratch.cut(ranked.agg(F.max(F.struct("met", "id")).alias("m"), F.min(F.struct("size", "id")).alias("s")).select("node", F.array_distinct(F.array("m.id", "s.id")).alias("centers")))
+    stars = members.select("node", "id").join(_small(centers), "node").select("id", F.explode("centers").alias("center")).filter("id <> center")
+    stars = stars.select(F.least("id", "center").alias("u"), F.greatest("id", "center").alias("v"))
+    return scratch.cut(buckets.filter("n = 2").select("u", "v").unionByName(stars).distinct()), members.select("node", "id", "size", "earlier")
 
 
 def _place() -> Column:
@@ -109,8 +116,10 @@ def _seen(lines: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scra
 
 
 def _grams(coded: str, shingle: int) -> str:
-    """SQL of the set of shingles of a line in UTF-32, as 64-bit hashes."""
-    return f"array_distinct(transform(sequence(1, greatest(octet_length({coded}) - {4 * shingle - 1}, 1), 4), i -> xxhash64(substring({coded}, i, {4 * shingle}))))"
+    """SQL of the set of shingles of a line in UTF-32, as 64-bit hashes. The line is a variable of the outer function: a column
+    of bytes would be copied as a whole for each shingle."""
+    hashes = f"transform(sequence(1, greatest(octet_length(b) - {4 * shingle - 1}, 1), 4), i -> xxhash64(substring(b, i, {4 * shingle})))"
+    return f"array_distinct(element_at(transform(array({coded}), b -> {hashes}), 1))"
 
 
 def _near(x: str, y: str, percent: int) -> str:
@@ -119,61 +128,58 @@ def _near(x: str, y: str, percent: int) -> str:
     return f"{sizes} AND {100 + percent} * size(array_intersect({x}, {y})) >= {percent} * (size({x}) + size({y}))"
 
 
-def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
-    """id and bits of the lines: n, their shingles counted with repeats, and w0 ..., a bitmap of the shingles' hashes."""
-    coded = texts.select("id", F.encode("norm", "UTF-32").alias("b"))
-    at = coded.select("id", "b", F.explode(F.expr(f"sequence(1, greatest(octet_length(b) - {4 * shingle - 1}, 1), 4)")).alias("i"))
-    hashed = at.select("id", F.expr(f"hash(substring(b, i, {4 * shingle}))").alias("h"))
-    words = [F.expr(f"bit_or(if((shiftright(h, 6) & {WORDS - 1}) = {w}, shiftleft(1L, h), 0L))").alias(f"w{w}") for w in range(WORDS)]
+def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """id and bits of the lines: n, the size of the set, and w0 ..., in which each shingle of the set turns one bit over."""
+    hashed = texts.select("id", F.explode(F.expr(_grams("encode(norm, 'UTF-32')", shingle))).alias("h"))
+    words = [F.expr(f"bit_xor(if((shiftright(h, 6) & {WORDS - 1}) = {w}, shiftleft(1L, CAST(h & 63 AS INT)), 0L))").alias(f"w{w}") for w in range(WORDS)]
     made = hashed.groupBy("id").agg(F.count("*").alias("n"), *words)
     return made.select("id", F.struct("n", *[f"w{w}" for w in range(WORDS)]).alias("bits"))
 
 
 def _may_be_near(x: str, y: str, percent: int) -> str:
     """SQL that holds for all near pairs: of near sets at most (100 - percent) / (100 + percent) of the sizes' sum is in one
-    set alone, and a bit in which their bitmaps differ takes one such shingle at least."""
-    differing = " + ".join(f"bit_count({x}.w{w} ^ {y}.w{w})" for w in range(WORDS))
-    return f"{100 + percent} * ({differing}) <= {100 - percent} * ({x}.n + {y}.n)"
+    set alone, and a bit in which their sketches differ takes one such shingle at least."""
+    sizes = f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n)"
+    differing = " + ".join(f"bit_count({x}w{w} ^ {y}w{w})" for w in range(WORDS))
+    return f"{sizes} AND {100 + percent} * ({differing}) <= {100 - percent} * ({x}n + {y}n)"
 
 
-def _confirm(pairs: DataFrame, seen: DataFrame, bitmaps: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, seen: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links among the pairs, on full shingle sets."""
-    side = lambda key, name: seen.select(F.col("id").alias(key), F.col("norm").alias(name))
-    bits = lambda key, name: bitmaps.select(F.col("id").alias(key), F.col("bits").alias(name))
-    likely = pairs.join(bits("u", "p"), "u").join(bits("v", "q"), "v").filter(_may_be_near("p", "q", percent)).select("u", "v")
-    met = likely.join(side("u", "x"), "u").join(side("v", "y"), "v")
-    # the generators keep the optimizer from copying an expression into each of its uses
-    coded = met.select("u", "v", F.explode(F.array(F.struct(F.encode("x", "UTF-32").alias("x"), F.encode("y", "UTF-32").alias("y")))).alias("b")).select("u", "v", "b.*")
-    sets = coded.select("u", "v", F.explode(F.expr(f"array(struct({_grams('x', shingle)} AS x, {_grams('y', shingle)} AS y))")).alias("s"))
+    side = lambda key, name: seen.select(F.col("id").alias(key), F.encode("norm", "UTF-32").alias(name))
+    met = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
+    # the generator keeps the optimizer from copying an expression into each of its uses
+    sets = met.select("u", "v", F.explode(F.expr(f"array(struct({_grams('x', shingle)} AS x, {_grams('y', shingle)} AS y))")).alias("s"))
     return sets.filter(_near("s.x", "s.y", percent)).select("u", "v")
 
 
-def _cross_links(members: DataFrame, groups: DataFrame, seen: DataFrame, bitmaps: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v) between groups that share a bucket: each pair of their classes is compared in the first bucket it shares,
-    by bitmaps first, then, of the lines that this leaves in a block, on full shingle sets."""
-    texts = seen.filter("norm IS NOT NULL").select("id", "norm")
-    named = members.join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id", "left").join(texts.select("id", F.length("norm").alias("size")), "id")
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs without those that their sketches rule out."""
+    bits = lambda key, name: sketches.select(F.col("id").alias(key), F.col("bits").alias(name))
+    return pairs.join(bits("u", "p"), "u").join(bits("v", "q"), "v").filter(_may_be_near("p.", "q.", percent)).select("u", "v")
+
+
+def _cross_pairs(members: DataFrame, groups: DataFrame, sketches: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes of different groups that share a bucket and that their sketches don't rule out, each in the
+    first bucket it shares."""
+    named = members.join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id", "left")
     named = scratch.cut(named.select("node", "id", F.coalesce("group", "id").alias("group"), "size", "earlier"))
     # of buckets with the same members the one of the first band does
     print_of = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
-    alike = named.groupBy("node").agg(F.min(F.size("earlier")).alias("at"), F.count("*").alias("n"), *print_of).groupBy("n", "s0", "s1").agg(F.min(F.struct("at", "node")).alias("one"))
+    alike = named.groupBy("node").agg(F.min(F.size("earlier")).alias("at"), F.count("*").alias("n"), F.min("group").alias("g0"), F.max("group").alias("g1"), *print_of).filter("g0 < g1")
+    alike = alike.groupBy("n", "s0", "s1").agg(F.min(F.struct("at", "node")).alias("one"))
     named = scratch.cut(named.join(_small(scratch.cut(alike.select(F.col("one.node").alias("node")))), "node", "left_semi"))
-    dealt = cross_blocks(named.drop("earlier"), BLOCK, BLOCK_CHARS).join(named.select("node", "id", "earlier"), ["node", "id"])
-    dealt = scratch.cut(dealt.select("node", "low", "high", "id", "group", F.when(F.col("low") != F.col("high"), F.col("own")).alias("own"), "earlier"))
-    block = ["node", "low", "high"]
-    wanted = f"x.group < y.group AND (x.own IS NULL OR x.own <> y.own) AND {_may_be_near('x.bits', 'y.bits', percent)} AND NOT arrays_overlap(x.earlier, y.earlier)"
-
-    def met(rows: DataFrame, row: Column) -> DataFrame:
-        every = rows.groupBy(*block).agg(F.collect_list(row).alias("all"))
-        return every.select(*block, "all", F.explode("all").alias("x")).select(*block, "x", F.explode("all").alias("y")).filter(wanted)
-
-    marked = dealt.join(bitmaps, "id")
-    live = met(marked, F.struct("id", "group", "own", "earlier", "bits")).select(*block, F.explode(F.array("x.id", "y.id")).alias("id")).distinct()
-    left = marked.join(scratch.cut(live), [*block, "id"], "left_semi").join(texts, "id").select(*block, "group", "own", "earlier", "bits", F.encode("norm", "UTF-32").alias("b"))
-    # a line's set is made once a block; the generator keeps it from being made again for each use
-    sets = left.select("*", F.explode(F.expr(f"array({_grams('b', shingle)})")).alias("g"))
-    near = met(sets, F.struct("group", "own", "earlier", "bits", "g")).filter(_near("x.g", "y.g", percent))
-    return near.select(F.col("x.group").alias("u"), F.col("y.group").alias("v")).distinct()
+    dealt = cross_blocks(named.drop("earlier"), BLOCK, BLOCK_BYTES).join(named.select("node", "id", "earlier"), ["node", "id"])
+    marked = scratch.cut(dealt.join(sketches, "id"))
+    # plain columns: a pair reads them without making structs
+    names, sketch = ["id", "group", "earlier", "n"], [f"w{w}" for w in range(WORDS)]
+    plain = marked.select("node", "low", "high", "own", "id", "group", "earlier", "bits.*")
+    side = lambda own, tag: plain.filter(f"own = {own}").select("node", "low", "high", *[F.col(c).alias(f"{tag}_{c}") for c in names + sketch])
+    x, y = side("low", "x").alias("a"), side("high", "y").alias("b")
+    once = "x_group <> y_group AND (a.low < a.high OR x_id < y_id)"
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("node", "low", "high")]
+    met = x.join(y, [*on, F.expr(f"{once} AND {_may_be_near('x_', 'y_', percent)} AND NOT arrays_overlap(x_earlier, y_earlier)")])
+    return scratch.cut(met.select(F.col("x_id").alias("u"), F.col("y_id").alias("v")))
 
 
 def _placed(docs: DataFrame, shingle: int, percent: int, min_chars: int) -> DataFrame:
@@ -184,9 +190,10 @@ def _placed(docs: DataFrame, shingle: int, percent: int, min_chars: int) -> Data
     pairs, members = _members(classes, scratch)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     seen = _seen(lines, classes, wanted, scratch)
-    bitmaps = scratch.cut(_bitmaps(seen.filter("norm IS NOT NULL"), shingle))
-    groups = scratch.cut(components(_confirm(pairs, seen, bitmaps, shingle, percent), scratch))
-    links = scratch.cut(_cross_links(members, groups, seen, bitmaps, scratch, shingle, percent))
+    sketches = scratch.cut(_sketches(seen.filter("norm IS NOT NULL"), shingle))
+    links = scratch.cut(_confirm(scratch.cut(_likely(pairs, sketches, percent)), seen, shingle, percent))
+    groups = scratch.cut(components(links, scratch))
+    links = scratch.cut(_confirm(_cross_pairs(members, groups, sketches, scratch, percent), seen, shingle, percent))
     if links.limit(1).count():
         groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), scratch)
     named = seen.select("id", "place").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").join(classes.select("id", "k1", "k2", "n"), "id")

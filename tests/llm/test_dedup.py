@@ -5,7 +5,7 @@ import brute
 import numpy as np
 from conftest import SENTENCE
 
-from millrace.llm import minhash
+from millrace.llm import lines, minhash
 from millrace.llm.common import Scratch
 from millrace.llm.embeddings import block_links, near_vectors
 from millrace.llm.graph import components
@@ -105,6 +105,27 @@ def test_similar_lines_in_a_crowded_bucket(spark):
     assert got == want
 
 
+def test_sketches_rule_out_long_lines_and_no_near_ones(spark):
+    # in 900 and more shingles; one bit map of 512 bits for all lengths, as before, is full there and rules nothing out
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    rows = []
+    for d in range(40):
+        own = letters(1500)
+        rows += [(3 * d, own), (3 * d + 1, own[:-160] + letters(160)), (3 * d + 2, own[:-300] + letters(300))]
+    rows += [(1000, "ab" * 400), (1001, "ab" * 900)]  # repeats, one set
+    sets = {d: {t[i : i + 10] for i in range(len(t) - 9)} for d, t in rows}
+    ratio = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = [(3 * d, 3 * d + 1) for d in range(40)] + [(1000, 1001)]
+    far = [(3 * d, 3 * d + 2) for d in range(40)]
+    assert min(ratio(*p) for p in near) >= 0.8 and max(ratio(*p) for p in far) < 0.7
+    sketches = lines._sketches(spark.createDataFrame(rows, "id bigint, norm string"), 10)  # noqa: SLF001
+    assert {r.id: r.bits.n for r in sketches.collect()} == {d: len(x) for d, x in sets.items()}
+    left = {(r.u, r.v) for r in lines._likely(spark.createDataFrame(near + far, "u bigint, v bigint"), sketches, 80).collect()}  # noqa: SLF001
+    assert left >= set(near)
+    assert len(left & set(far)) <= 4
+
+
 def test_documents_equal_brute_force(spark, small_docs):
     got = {r.doc_id: r for r in near_duplicates(small_docs, words=4).collect()}
     group, sets, _ = brute.near_groups([(r.doc_id, r.text) for r in small_docs.collect()], 4)
