@@ -40,13 +40,13 @@ SHINGLE, MIN_CHARS = 10, 20
 #: The lines of the affine plane of order three: minima of each band.
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6))
 #: Shingle positions that one exploded row covers.
-UNROLL = 4
+UNROLL = 16
 #: Most rows of at most some 60 bytes (fingerprints, ids, places) that are broadcast.
 BROADCAST_KEYS = 500_000
 #: Lines of a bucket, and their bytes in UTF-16, that are compared at once with as many others.
 BLOCK, BLOCK_BYTES = 512, 1 << 19
-#: 64-bit words of a line's sketch, a power of two.
-WORDS = 16
+#: 64-bit words of a line's sketch, a power of two, and shingles that one row adds to it.
+WORDS, ADDED = 16, 8
 
 _BITS = 1 << 30  # of a text's hash, to tell apart rows of one doc_id
 _LAST = Decimal(1 << 63)  # in place of a null doc_id
@@ -57,7 +57,8 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     # hashed before the lines are made, else a text is hashed again for each of its lines
     hashed = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.split("text", "\n").alias("parts"))
     texts = hashed.select("doc_id", "t1", "t2", F.posexplode("parts").alias("line_no", "line"))
-    every = texts.select("doc_id", "t1", "t2", "line_no", F.lower(F.trim("line")).alias("norm")).filter(F.length("norm") >= max(min_chars, 1))
+    # a generator's output, else the optimizer copies the expression into the filter and each line is lowered twice
+    every = texts.select("doc_id", "t1", "t2", "line_no", F.explode(F.array(F.lower(F.trim("line")))).alias("norm")).filter(F.length("norm") >= max(min_chars, 1))
     return every.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(1), "norm")})
 
 
@@ -110,8 +111,8 @@ def _seen(lines: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scra
     """id, b (the line in UTF-32, where it is wanted) and first place of the classes that are wanted or have several lines."""
     flagged = classes.select("id", "k1", "k2", "n").join(wanted.withColumn("wanted", F.lit(True)), "id", "left").filter("n > 1 OR wanted")
     keys = _small(scratch.cut(flagged.select("id", "k1", "k2", F.coalesce("wanted", F.lit(False)).alias("wanted"))))
-    met = lines.select("k1", "k2", _place().alias("place"), "norm").join(keys, ["k1", "k2"])
-    seen = met.select("id", "place", F.when(F.col("wanted"), F.col("norm")).alias("norm")).groupBy("id", "norm").agg(F.min("place").alias("place"))
+    met = lines.select("k1", "k2", "doc_id", "line_no", "t1", "norm").join(keys, ["k1", "k2"])
+    seen = met.select("id", _place().alias("place"), F.when(F.col("wanted"), F.col("norm")).alias("norm")).groupBy("id", "norm").agg(F.min("place").alias("place"))
     return scratch.cut(seen)
 
 
@@ -130,9 +131,13 @@ def _near(x: str, y: str, percent: int) -> str:
 
 def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
     """id and bits of the lines: n, the size of the set, and w0 ..., in which each shingle of the set turns one bit over."""
-    hashed = texts.select("id", F.explode(F.expr(_grams("encode(norm, 'UTF-32')", shingle))).alias("h"))
-    words = [F.expr(f"bit_xor(if((shiftright(h, 6) & {WORDS - 1}) = {w}, shiftleft(1L, CAST(h & 63 AS INT)), 0L))").alias(f"w{w}") for w in range(WORDS)]
-    made = hashed.groupBy("id").agg(F.count("*").alias("n"), *words)
+    sets = texts.select("id", F.expr(_grams("encode(norm, 'UTF-32')", shingle)).alias("g"))
+    at = sets.select("id", "g", F.explode(F.expr(f"sequence(0, size(g) - 1, {ADDED})")).alias("i"))
+    hashed = at.select("id", F.expr("if(i = 0, size(g), 0)").alias("n"), *[F.expr(f"get(g, i + {j})").alias(f"h{j}") for j in range(ADDED)])
+    # beyond a set's end is no word's bit; without nulls the generated code is shorter
+    parts = [F.expr(x) for j in range(ADDED) for x in (f"coalesce(shiftright(h{j}, 6) & {WORDS - 1}, -1L) AS p{j}", f"coalesce(shiftleft(1L, CAST(h{j} & 63 AS INT)), 0L) AS b{j}")]
+    words = [F.expr("bit_xor(" + " ^ ".join(f"if(p{j} = {w}, b{j}, 0L)" for j in range(ADDED)) + f") AS w{w}") for w in range(WORDS)]
+    made = hashed.select("id", "n", *parts).groupBy("id").agg(F.sum("n").alias("n"), *words)
     return made.select("id", F.struct("n", *[f"w{w}" for w in range(WORDS)]).alias("bits"))
 
 

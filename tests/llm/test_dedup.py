@@ -126,6 +126,12 @@ def test_sketches_rule_out_long_lines_and_no_near_ones(spark):
     assert len(left & set(far)) <= 4
 
 
+def test_a_line_is_lowered_once(spark, small_docs):
+    # in the plan that hashes it: not again in the filter on its length, or for each hash
+    plan = lines._lines(small_docs, 1).agg({"k1": "max", "k2": "max"})._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    assert plan.count("lower(") == 1
+
+
 def test_documents_equal_brute_force(spark, small_docs):
     got = {r.doc_id: r for r in near_duplicates(small_docs, words=4).collect()}
     group, sets, _ = brute.near_groups([(r.doc_id, r.text) for r in small_docs.collect()], 4)
