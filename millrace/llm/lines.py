@@ -45,6 +45,10 @@ UNROLL = 16
 BROADCAST_KEYS = 500_000
 #: Lines of a bucket, and their bytes in UTF-16, that are compared at once with as many others.
 BLOCK, BLOCK_BYTES = 512, 1 << 19
+#: Rounds in which pairs of a bucket are compared, the last one on all that are left.
+ROUNDS = 3
+#: Members of a large bucket that meet in one small set before all meet.
+FEW = 8
 #: 64-bit words of a line's sketch, a power of two, and shingles that one row adds to it.
 WORDS, ADDED = 16, 8
 
@@ -141,20 +145,26 @@ def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
     return made.select("id", F.struct("n", *[f"w{w}" for w in range(WORDS)]).alias("bits"))
 
 
+def _differing(x: str, y: str) -> str:
+    """SQL of the number of bits in which two sketches differ."""
+    return " + ".join(f"bit_count({x}w{w} ^ {y}w{w})" for w in range(WORDS))
+
+
 def _may_be_near(x: str, y: str, percent: int) -> str:
     """SQL that holds for all near pairs: of near sets at most (100 - percent) / (100 + percent) of the sizes' sum is in one
     set alone, and a bit in which their sketches differ takes one such shingle at least."""
     sizes = f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n)"
-    differing = " + ".join(f"bit_count({x}w{w} ^ {y}w{w})" for w in range(WORDS))
-    return f"{sizes} AND {100 + percent} * ({differing}) <= {100 - percent} * ({x}n + {y}n)"
+    return f"{sizes} AND {100 + percent} * ({_differing(x, y)}) <= {100 - percent} * ({x}n + {y}n)"
 
 
 def _confirm(pairs: DataFrame, seen: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links among the pairs, on full shingle sets."""
-    side = lambda key, name: seen.select(F.col("id").alias(key), F.encode("norm", "UTF-32").alias(name))
-    met = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
+    texts = seen.join(_small(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), "id", "left_semi")
+    side = lambda key, name: texts.select(F.col("id").alias(key), F.col("norm").alias(name))
+    met = pairs.select("u", "v").join(side("u", "x"), "u").join(side("v", "y"), "v")
     # the generator keeps the optimizer from copying an expression into each of its uses
-    sets = met.select("u", "v", F.explode(F.expr(f"array(struct({_grams('x', shingle)} AS x, {_grams('y', shingle)} AS y))")).alias("s"))
+    grams = [_grams(f"encode({name}, 'UTF-32')", shingle) + f" AS {name}" for name in ("x", "y")]
+    sets = met.select("u", "v", F.explode(F.expr(f"array(struct({', '.join(grams)}))")).alias("s"))
     return sets.filter(_near("s.x", "s.y", percent)).select("u", "v")
 
 
@@ -164,11 +174,36 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(bits("u", "p"), "u").join(bits("v", "q"), "v").filter(_may_be_near("p.", "q.", percent)).select("u", "v")
 
 
-def _cross_pairs(members: DataFrame, groups: DataFrame, sketches: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (u, v) of classes of different groups that share a bucket and that their sketches don't rule out, each in the
-    first bucket it shares."""
+def _grouped(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members with their groups; a class without links is its own."""
     named = members.join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id", "left")
-    named = scratch.cut(named.select("node", "id", F.coalesce("group", "id").alias("group"), "size", "earlier"))
+    return named.select("node", "id", F.coalesce("group", "id").alias("group"), "size", "earlier")
+
+
+def _apart(x: str, y: str) -> Column:
+    """How far two sketches are apart, in proportion to the sets' sizes."""
+    return F.expr(f"CAST(1000000L * ({_differing(x, y)}) / ({x}n + {y}n) AS INT)").alias("apart")
+
+
+def _some_pairs(members: DataFrame, groups: DataFrame, sketches: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Of the pairs that _cross_pairs has those in random small sets of a large bucket's members: enough to join most of a
+    family whose members are alike, so that fewer groups are left of which all pairs meet."""
+    named = scratch.cut(_grouped(members, groups).drop("size", "earlier"))
+    large = named.groupBy("node").agg(F.count("*").alias("n"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter(f"n > {2 * FEW} AND g0 < g1")
+    dealt = named.join(_small(scratch.cut(large.select("node", "n"))), "node")
+    dealt = scratch.cut(dealt.select("node", F.pmod(F.xxhash64("node", "id"), F.ceil(F.col("n") / FEW)).alias("part"), "id", "group"))
+    x = dealt.select("node", "part", F.col("id").alias("u"), F.col("group").alias("gu"))
+    y = dealt.select("node", "part", F.col("id").alias("v"), F.col("group").alias("gv"))
+    met = scratch.cut(x.join(y, ["node", "part"]).filter("u < v AND gu <> gv").select("u", "v", "gu", "gv").distinct())
+    bits = lambda key, name: sketches.select(F.col("id").alias(key), F.col("bits").alias(name))
+    near = met.join(bits("u", "p"), "u").join(bits("v", "q"), "v").filter(_may_be_near("p.", "q.", percent))
+    return scratch.cut(near.select("u", "v", "gu", "gv", _apart("p.", "q.")))
+
+
+def _cross_pairs(members: DataFrame, groups: DataFrame, sketches: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes of different groups (gu, gv) that share a bucket and that their sketches don't rule out, each in
+    the first bucket it shares, and how far the sketches are apart."""
+    named = scratch.cut(_grouped(members, groups))
     # of buckets with the same members the one of the first band does
     print_of = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
     alike = named.groupBy("node").agg(F.min(F.size("earlier")).alias("at"), F.count("*").alias("n"), F.min("group").alias("g0"), F.max("group").alias("g1"), *print_of).filter("g0 < g1")
@@ -176,15 +211,45 @@ def _cross_pairs(members: DataFrame, groups: DataFrame, sketches: DataFrame, scr
     named = scratch.cut(named.join(_small(scratch.cut(alike.select(F.col("one.node").alias("node")))), "node", "left_semi"))
     dealt = cross_blocks(named.drop("earlier"), BLOCK, BLOCK_BYTES).join(named.select("node", "id", "earlier"), ["node", "id"])
     marked = scratch.cut(dealt.join(sketches, "id"))
-    # plain columns: a pair reads them without making structs
+    # plain columns: a pair reads them without making structs, and without nulls the generated code is shorter
     names, sketch = ["id", "group", "earlier", "n"], [f"w{w}" for w in range(WORDS)]
-    plain = marked.select("node", "low", "high", "own", "id", "group", "earlier", "bits.*")
+    plain = marked.select("node", "low", "high", "own", "earlier", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c.split(".")[-1]) for c in ("id", "group", "bits.n", *[f"bits.{w}" for w in sketch])])
     side = lambda own, tag: plain.filter(f"own = {own}").select("node", "low", "high", *[F.col(c).alias(f"{tag}_{c}") for c in names + sketch])
     x, y = side("low", "x").alias("a"), side("high", "y").alias("b")
     once = "x_group <> y_group AND (a.low < a.high OR x_id < y_id)"
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("node", "low", "high")]
     met = x.join(y, [*on, F.expr(f"{once} AND {_may_be_near('x_', 'y_', percent)} AND NOT arrays_overlap(x_earlier, y_earlier)")])
-    return scratch.cut(met.select(F.col("x_id").alias("u"), F.col("y_id").alias("v")))
+    return scratch.cut(met.select(F.col("x_id").alias("u"), F.col("y_id").alias("v"), F.col("x_group").alias("gu"), F.col("y_group").alias("gv"), _apart("x_", "y_")))
+
+
+def _join_groups(groups: DataFrame, pairs: DataFrame, seen: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """(node, component) after the links among the pairs (u, v, gu, gv, apart) of classes of different groups. Each group's
+    closest pair is compared first, round by round; a pair whose groups are joined by then needs no comparison, all others
+    get it."""
+    joined, rounds = None, 0
+    while left := pairs.count():
+        rounds += 1
+        sides = pairs.select(F.explode(F.array("gu", "gv")).alias("g"), F.struct("apart", "u", "v").alias("pair"))
+        first = scratch.cut(sides.groupBy("g").agg(F.min("pair").alias("pair")).select("pair.u", "pair.v").distinct())
+        last = rounds == ROUNDS or 2 * first.count() >= left
+        links = scratch.cut(_confirm(pairs if last else first, seen, shingle, percent))
+        found = pairs.join(_small(links), ["u", "v"]).select(F.col("gu").alias("u"), F.col("gv").alias("v"))
+        if joined is not None:
+            found = found.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        joined = scratch.cut(components(found, scratch))
+        if last:
+            break
+        names = _small(joined)
+        now = pairs.join(_small(first), ["u", "v"], "left_anti")
+        for g in ("gu", "gv"):
+            now = now.join(names.select(F.col("node").alias(g), F.col("component").alias("c")), g, "left").withColumn(g, F.coalesce("c", g)).drop("c")
+        pairs = scratch.cut(now.filter("gu <> gv"))
+    if joined is None:
+        return groups
+    # joined is between groups: members of a joined one move, and classes without links before are new
+    moved = groups.join(_small(joined.select(F.col("node").alias("component"), F.col("component").alias("c"))), "component", "left")
+    new = joined.join(groups, "node", "left_anti")
+    return scratch.cut(moved.select("node", F.coalesce("c", "component").alias("component")).unionByName(new.select("node", "component")))
 
 
 def _placed(docs: DataFrame, shingle: int, percent: int, min_chars: int) -> DataFrame:
@@ -198,11 +263,10 @@ def _placed(docs: DataFrame, shingle: int, percent: int, min_chars: int) -> Data
     sketches = scratch.cut(_sketches(seen.filter("norm IS NOT NULL"), shingle))
     links = scratch.cut(_confirm(scratch.cut(_likely(pairs, sketches, percent)), seen, shingle, percent))
     groups = scratch.cut(components(links, scratch))
-    links = scratch.cut(_confirm(_cross_pairs(members, groups, sketches, scratch, percent), seen, shingle, percent))
-    if links.limit(1).count():
-        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), scratch)
-    named = seen.select("id", "place").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").join(classes.select("id", "k1", "k2", "n"), "id")
-    named = scratch.cut(named.select("k1", "k2", "n", "place", F.coalesce("component", "id").alias("component")))
+    for pairs_of in (_some_pairs, _cross_pairs):
+        groups = _join_groups(groups, pairs_of(members, groups, sketches, scratch, percent), seen, scratch, shingle, percent)
+    named = seen.select("id", "place").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = scratch.cut(named.join(classes.select("id", "k1", "k2", "n"), "id").select("k1", "k2", "n", "place", "component"))
     # written, so that both sides of the join are shuffles of their own and a hot group's side can be split
     whole = scratch.cut(named.groupBy("component").agg(F.min("place").alias("first"), F.sum("n").alias("group_lines")).filter("group_lines > 1"))
     base, low = F.lit(1 << 61).cast("decimal(19,0)"), F.col("low")

@@ -126,6 +126,28 @@ def test_sketches_rule_out_long_lines_and_no_near_ones(spark):
     assert len(left & set(far)) <= 4
 
 
+def test_a_family_is_joined_without_comparing_all_its_pairs(spark, monkeypatch):
+    # near copies of one line, many of whose pairs are alike at 0.8 and more; of each bucket's centers too few are
+    rng = random.Random(3)
+    base = rng.choices("abcdefghijklmnopqrstuvwxyz", k=800)
+    rows = []
+    for d in range(300):
+        own = list(base)
+        for at in rng.sample(range(800), rng.choice((4, 5))):
+            own[at] = rng.choice("0123456789")
+        rows.append((d, "".join(own)))
+    compared, confirm = [], lines._confirm  # noqa: SLF001
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(lines, "_confirm", counted)
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in line_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == expected_lines(rows)
+    assert sum(compared) < 8 * len(rows)  # 14,942 when all pairs of different groups were
+
+
 def test_a_line_is_lowered_once(spark, small_docs):
     # in the plan that hashes it: not again in the filter on its length, or for each hash
     plan = lines._lines(small_docs, 1).agg({"k1": "max", "k2": "max"})._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
