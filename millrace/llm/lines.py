@@ -11,9 +11,10 @@ shingle. Equal lines (equal 128-bit fingerprints) are one class.
    beside a passage that all share. A class has a sketch, in which each shingle of its set turns one of 1,024 bits over.
    Pairs whose sketches differ in more bits than near sets' can are ruled out, without loss; the others are compared
    exactly, on full shingle sets, and links go through union-find.
-3. In buckets whose classes are still in more than one group, all classes of different groups meet, block against block,
-   each pair in the first bucket that it shares; those that sketches leave are compared exactly. So all that share a bucket
-   are compared, ruled out without loss or joined.
+3. In buckets whose classes are still in more than one group, classes of different groups meet: those of a large bucket in
+   random small sets first, then all, block against block, each pair in the first bucket that it shares. Of the pairs that
+   sketches leave, each group's closest is compared first, and one whose groups are joined by then is not compared; all
+   others are, exactly. So all that share a bucket are compared, ruled out without loss or joined.
 4. The first line of each component, by doc_id and line number, stays.
 
 Recall: a pair of similarity 0.8 shares a bucket with probability 0.990, one of 0.9 with 0.9996. Buckets are never held
