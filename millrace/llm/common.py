@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.session import files_of, shared_folder, ship
 
-__all__ = ["Scratch", "ship", "spread", "table", "whole_groups"]
+__all__ = ["Scratch", "released", "ship", "spread", "table", "whole_groups"]
 
 
 class Scratch:
@@ -51,6 +52,16 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a Python worker's task; at its end, what the worker has freed goes back to the system. A worker waits
+    beside its executor for the next task, and what it holds counts as the executor's memory meanwhile."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Rows of whole groups, and where each group begins (and one more): a batch's last group waits for the next batch."""
     held: list[pa.RecordBatch] = []

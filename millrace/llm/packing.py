@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import ship
+from millrace.llm.common import released, ship
 
 CAPACITY = 1024
 #: Remainders are cut into pieces of at most this many ids, so that windows can be made near-equal.
@@ -169,4 +169,4 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks:
         if rows:
             yield emit()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda batches: released(run(batches)), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ship
+from millrace.llm.common import released, ship
 from millrace.llm.minhash import text_chunks, word_hashes
 
 PASSAGE, TRAIN_DOCS, HIDDEN, GATE, EPOCHS, BATCH = 600, 6000, 24, 12, 30, 256
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Att
             bags = [x[a:b].astype(np.float16).tobytes() for x, begins in passages(batch.column(1)) for a, b in zip(begins[:-1], begins[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], ["doc_id", "quality", "bag"])
 
-    rows = texts.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id bigint, quality int, bag binary").collect()
+    rows = texts.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(lambda batches: released(run(batches)), "doc_id bigint, quality int, bag binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.bag))
     marks = np.array([float(r.quality) for r in rows])
     if len(set(marks.tolist())) < 2:
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: AttentionModel | float) -> DataFrame:
                 out = np.concatenate([model.forward(x.astype(np.float64), begins)["score"] for x, begins in passages(batch.column(at))] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(run, f"{kinds}, quality_score double")
+    return docs.mapInArrow(lambda batches: released(run(batches)), f"{kinds}, quality_score double")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

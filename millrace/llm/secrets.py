@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ship
+from millrace.llm.common import released, ship
 
 # The patterns, in their order, with the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -215,7 +215,7 @@ def scan(docs: DataFrame, text_column: str = "text", threshold: float = THRESHOL
                 columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.string()), pa.array(second, pa.string())], [*names, "base_spans", "secret_spans"])
 
-    return docs.mapInArrow(run, f"{kinds}, base_spans string, secret_spans string")
+    return docs.mapInArrow(lambda batches: released(run(batches)), f"{kinds}, base_spans string, secret_spans string")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from test_dedup import expected_lines
 from tokenizers import Tokenizer
 
@@ -63,3 +64,19 @@ def test_run_and_empty(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_idle_workers_hold_little(spark):
+    # what a scan's worker freed went back: a worker that waits holds no more than some 100 MB of its own
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    secrets.scan(docs, redact=True).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        for _ in batches:
+            pass
+        own = sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Private_Dirty"))
+        yield pa.RecordBatch.from_arrays([pa.array([own // 1024])], ["mb"])
+
+    most = max(r.mb for r in spark.range(0, 8, 1, 4).mapInArrow(held, "mb bigint").collect())
+    print("held", most)
+    assert most < 110
