@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,32 @@ from millrace.llm.common import Scratch
 MOST_ROUNDS = 60
 #: Links up to which a round's least neighbours (at most two rows a link, 16 bytes each) are broadcast.
 BROADCAST_LINKS = 500_000
+#: Links up to which the driver joins them itself (16 bytes each): rounds of shuffles cost more than all else there.
+DRIVER_LINKS = 500_000
+
+
+def least_reachable(count: int, u: np.ndarray, v: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The smallest reachable of the nodes 0 to ``count`` - 1 by node, over the links (u, v) and those behind ``root``."""
+    root = np.arange(count) if root is None else root.copy()
+    while len(u):
+        a, b = root[u], root[v]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    return root
+
+
+def columns_of(frame: DataFrame) -> list[np.ndarray]:
+    """The columns of a frame of few rows, numbers without nulls, on the driver."""
+    return [c.to_numpy() for c in frame.toArrow().columns]
+
+
+def frame_of(like: DataFrame, **columns: np.ndarray) -> DataFrame:
+    """A frame of 64-bit numbers, in the session of another."""
+    made = pa.table({k: pa.array(x, pa.int64()) for k, x in columns.items()})
+    return like.sparkSession.createDataFrame(made, ", ".join(f"{k} bigint" for k in columns))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -17,7 +45,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     A round hangs each node's larger neighbours on its least neighbour (large star), then its smaller ones (small star).
     Edges shrink to stars around the least nodes in a logarithmic number of rounds; each round is written to the shared
-    folder, so lineage stays short. Only two numbers a round reach the driver. Self-links and nulls are ignored.
+    folder, so lineage stays short. Only two numbers a round reach the driver. Self-links and nulls are ignored. Links of at
+    most a checked number are joined on the driver instead, with the same result.
 
     A star's centre is one key for all its links. Below a checked number of links the least neighbours are broadcast, so
     no key gathers anywhere; beyond it they are written first, so that both sides of the join are plain shuffles and
@@ -25,6 +54,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     u, v = F.col("u"), F.col("v")
     now = scratch.cut(edges.filter(u != v).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if now.count() <= DRIVER_LINKS:
+        high, low = columns_of(now)
+        nodes, at = np.unique(np.r_[high, low], return_inverse=True)
+        return frame_of(now, node=nodes, component=nodes[least_reachable(len(nodes), *np.split(at, 2))])
     print_now, old = _fingerprint(now), None
     for _ in range(MOST_ROUNDS):
         if print_now == old:

@@ -31,11 +31,13 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch
-from millrace.llm.graph import components, cross_blocks
+from millrace.llm import graph
+from millrace.llm.graph import columns_of, components, cross_blocks, frame_of, least_reachable
 
 SHINGLE, MIN_CHARS = 10, 20
 #: The lines of the affine plane of order three: minima of each band.
@@ -160,9 +162,11 @@ def _may_be_near(x: str, y: str, percent: int) -> str:
 
 def _confirm(pairs: DataFrame, seen: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links among the pairs, on full shingle sets."""
-    texts = seen.join(_small(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), "id", "left_semi")
-    side = lambda key, name: texts.select(F.col("id").alias(key), F.col("norm").alias(name))
-    met = pairs.select("u", "v").join(side("u", "x"), "u").join(side("v", "y"), "v")
+    few = _small(pairs.select("u", "v"))
+    side = lambda key, name: seen.select(F.col("id").alias(key), F.col("norm").alias(name))
+    # where pairs are few, texts that they don't name are not shuffled
+    other = side("v", "y").join(few.select("v").distinct() if few is not pairs else few, "v", "left_semi")
+    met = side("u", "x").join(few, "u").join(other, "v")
     # the generator keeps the optimizer from copying an expression into each of its uses
     grams = [_grams(f"encode({name}, 'UTF-32')", shingle) + f" AS {name}" for name in ("x", "y")]
     sets = met.select("u", "v", F.explode(F.expr(f"array(struct({', '.join(grams)}))")).alias("s"))
@@ -223,12 +227,42 @@ def _cross_pairs(members: DataFrame, groups: DataFrame, sketches: DataFrame, scr
     return scratch.cut(met.select(F.col("x_id").alias("u"), F.col("y_id").alias("v"), F.col("x_group").alias("gu"), F.col("y_group").alias("gv"), _apart("x_", "y_")))
 
 
+def _join_few(pairs: DataFrame, seen: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, component) of the groups that links among few pairs join. The driver picks the pairs of a round; they are
+    compared on the executors."""
+    u, v, gu, gv, apart = columns_of(pairs.select("u", "v", "gu", "gv", "apart"))
+    names, at = np.unique(np.r_[gu, gv], return_inverse=True)
+    ids, one = np.unique(np.r_[u, v], return_index=True)
+    group_of = at[one]
+    a, b = np.split(at, 2)
+    root, left = np.arange(len(names)), np.flatnonzero(a != b)
+    for rounds in range(1, ROUNDS + 1):
+        if not len(left):
+            break
+        sides, pair = np.r_[root[a[left]], root[b[left]]], np.r_[left, left]
+        order = np.lexsort((v[pair], u[pair], apart[pair], sides))
+        first = np.unique(pair[order][np.r_[True, np.diff(sides[order]) != 0]])
+        last = rounds == ROUNDS or 2 * len(first) >= len(left)
+        now = left if last else first
+        links = columns_of(_confirm(frame_of(pairs, u=u[now], v=v[now]), seen, shingle, percent))
+        root = least_reachable(len(names), *(group_of[np.searchsorted(ids, x)] for x in links), root)
+        if last:
+            break
+        left = np.setdiff1d(left, first)
+        left = left[root[a[left]] != root[b[left]]]
+    moved = np.bincount(root, minlength=len(names))[root] > 1
+    return frame_of(pairs, node=names[moved], component=names[root[moved]])
+
+
 def _join_groups(groups: DataFrame, pairs: DataFrame, seen: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
     """(node, component) after the links among the pairs (u, v, gu, gv, apart) of classes of different groups. Each group's
     closest pair is compared first, round by round; a pair whose groups are joined by then needs no comparison, all others
     get it."""
     joined, rounds = None, 0
     while left := pairs.count():
+        if left <= graph.DRIVER_LINKS and joined is None:
+            joined = _join_few(pairs, seen, shingle, percent)
+            break
         rounds += 1
         sides = pairs.select(F.explode(F.array("gu", "gv")).alias("g"), F.struct("apart", "u", "v").alias("pair"))
         first = scratch.cut(sides.groupBy("g").agg(F.min("pair").alias("pair")).select("pair.u", "pair.v").distinct())
@@ -249,7 +283,7 @@ def _join_groups(groups: DataFrame, pairs: DataFrame, seen: DataFrame, scratch:
         return groups
     # joined is between groups: members of a joined one move, and classes without links before are new
     moved = groups.join(_small(joined.select(F.col("node").alias("component"), F.col("component").alias("c"))), "component", "left")
-    new = joined.join(groups, "node", "left_anti")
+    new = joined.join(_small(groups.select("node")), "node", "left_anti")
     return scratch.cut(moved.select("node", F.coalesce("c", "component").alias("component")).unionByName(new.select("node", "component")))
 
 
