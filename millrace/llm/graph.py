@@ -83,9 +83,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(u.alias("node"), v.alias("component")).unionByName(now.select(v.alias("node"), v.alias("component")).distinct())
 
 
-def cross_blocks(members: DataFrame, block: int, block_size: int) -> DataFrame:
+def cross_blocks(members: DataFrame, block: int, block_size: int, *more: str) -> DataFrame:
     """Deal the members (node, id, group, size) of nodes with several groups to pairs of blocks of about ``block`` members
-    and at most about ``block_size`` in size: (node, low, high, own, id, group). Two members of different groups of a node
+    and at most about ``block_size`` in size: (node, low, high, own, id, group) and the columns named besides. Two members of different groups of a node
     meet in exactly one (low, high), one of them with own = low and the other with own = high (or both in low = high).
     The largest group's blocks only meet those of the other groups."""
     sizes = members.groupBy("node", "group").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
@@ -95,8 +95,8 @@ def cross_blocks(members: DataFrame, block: int, block_size: int) -> DataFrame:
     in_main, number = F.col("group") == F.col("main"), F.xxhash64("id", F.lit(5))
     own = F.when(in_main, F.col("of_rest") + F.pmod(number, F.col("of_main"))).otherwise(F.pmod(number, F.col("of_rest"))).cast("int")
     last = F.when(in_main, F.col("of_rest")).otherwise(F.col("of_rest") + F.col("of_main")) - 1
-    dealt = members.join(nodes, "node").select("node", "id", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
-    return dealt.select("node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "group")
+    dealt = members.join(nodes, "node").select("node", "id", "group", *more, own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return dealt.select("node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "group", *more)
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

@@ -65,7 +65,10 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     hashed = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.split("text", "\n").alias("parts"))
     texts = hashed.select("doc_id", "t1", "t2", F.posexplode("parts").alias("line_no", "line"))
     # a generator's output, else the optimizer copies the expression into the filter and each line is lowered twice
-    every = texts.select("doc_id", "t1", "t2", "line_no", F.explode(F.array(F.lower(F.trim("line")))).alias("norm")).filter(F.length("norm") >= max(min_chars, 1))
+    every = texts.select("doc_id", "t1", "t2", "line_no", F.explode(F.array(F.lower(F.trim("line")))).alias("norm"))
+    # a character has one to four bytes: only short lines' characters are counted
+    least = max(min_chars, 1)
+    every = every.filter(f"octet_length(norm) >= {least}" + f" AND (octet_length(norm) >= {4 * least} OR length(norm) >= {least})" * (least > 1))
     return every.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(1), "norm")})
 
 
@@ -114,13 +117,19 @@ def _place() -> Column:
     return (doc * F.lit(1 << 61).cast("decimal(19,0)") + rest.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
-def _seen(lines: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, b (the line in UTF-32, where it is wanted) and first place of the classes that are wanted or have several lines."""
-    flagged = classes.select("id", "k1", "k2", "n").join(wanted.withColumn("wanted", F.lit(True)), "id", "left").filter("n > 1 OR wanted")
+def _marked(lines: DataFrame, classes: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """All lines: doc_id, t1, t2, line_no, id of the classes that are wanted or have several lines, else null, and norm, the
+    line where it is wanted. Written, so that no later step splits and hashes the texts again."""
+    flagged = classes.select("id", "k1", "k2", "n").join(_small(scratch.cut(wanted)).withColumn("wanted", F.lit(True)), "id", "left").filter("n > 1 OR wanted")
     keys = _small(scratch.cut(flagged.select("id", "k1", "k2", F.coalesce("wanted", F.lit(False)).alias("wanted"))))
-    met = lines.select("k1", "k2", "doc_id", "line_no", "t1", "norm").join(keys, ["k1", "k2"])
-    seen = met.select("id", _place().alias("place"), F.when(F.col("wanted"), F.col("norm")).alias("norm")).groupBy("id", "norm").agg(F.min("place").alias("place"))
-    return scratch.cut(seen)
+    met = lines.join(keys, ["k1", "k2"], "left")
+    return scratch.cut(met.select("doc_id", "t1", "t2", "line_no", "id", F.when(F.col("wanted"), F.col("norm")).alias("norm")))
+
+
+def _seen(marked: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, norm (where it is wanted), first place and n (lines) of the classes that the lines are marked with."""
+    met = marked.filter("id IS NOT NULL").select("id", _place().alias("place"), "norm")
+    return scratch.cut(met.groupBy("id", "norm").agg(F.min("place").alias("place"), F.count("*").alias("n")))
 
 
 def _grams(coded: str, shingle: int) -> str:
@@ -214,8 +223,7 @@ def _cross_pairs(members: DataFrame, groups: DataFrame, sketches: DataFrame, scr
     alike = named.groupBy("node").agg(F.min(F.size("earlier")).alias("at"), F.count("*").alias("n"), F.min("group").alias("g0"), F.max("group").alias("g1"), *print_of).filter("g0 < g1")
     alike = alike.groupBy("n", "s0", "s1").agg(F.min(F.struct("at", "node")).alias("one"))
     named = scratch.cut(named.join(_small(scratch.cut(alike.select(F.col("one.node").alias("node")))), "node", "left_semi"))
-    dealt = cross_blocks(named.drop("earlier"), BLOCK, BLOCK_BYTES).join(named.select("node", "id", "earlier"), ["node", "id"])
-    marked = scratch.cut(dealt.join(sketches, "id"))
+    marked = scratch.cut(cross_blocks(named, BLOCK, BLOCK_BYTES, "earlier").join(sketches, "id"))
     # plain columns: a pair reads them without making structs, and without nulls the generated code is shorter
     names, sketch = ["id", "group", "earlier", "n"], [f"w{w}" for w in range(WORDS)]
     plain = marked.select("node", "low", "high", "own", "earlier", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c.split(".")[-1]) for c in ("id", "group", "bits.n", *[f"bits.{w}" for w in sketch])])
@@ -294,21 +302,24 @@ def _placed(docs: DataFrame, shingle: int, percent: int, min_chars: int) -> Data
     classes = scratch.cut(_classes(lines, shingle))
     pairs, members = _members(classes, scratch)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    seen = _seen(lines, classes, wanted, scratch)
+    marked = _marked(lines, classes, wanted, scratch)
+    seen = _seen(marked, scratch)
     sketches = scratch.cut(_sketches(seen.filter("norm IS NOT NULL"), shingle))
     links = scratch.cut(_confirm(scratch.cut(_likely(pairs, sketches, percent)), seen, shingle, percent))
     groups = scratch.cut(components(links, scratch))
     for pairs_of in (_some_pairs, _cross_pairs):
         groups = _join_groups(groups, pairs_of(members, groups, sketches, scratch, percent), seen, scratch, shingle, percent)
-    named = seen.select("id", "place").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = scratch.cut(named.join(classes.select("id", "k1", "k2", "n"), "id").select("k1", "k2", "n", "place", "component"))
+    named = seen.select("id", "place", "n").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+    named = scratch.cut(named.withColumn("component", F.coalesce("component", "id")))
     # written, so that both sides of the join are shuffles of their own and a hot group's side can be split
     whole = scratch.cut(named.groupBy("component").agg(F.min("place").alias("first"), F.sum("n").alias("group_lines")).filter("group_lines > 1"))
     base, low = F.lit(1 << 61).cast("decimal(19,0)"), F.col("low")
     doc = F.floor(F.col("first") / base).cast("decimal(19,0)")
-    first = named.join(whole, "component").select("k1", "k2", "group_lines", doc.alias("doc"), (F.col("first") - doc * base).cast("bigint").alias("low"))
-    first = first.select("k1", "k2", "group_lines", F.when(F.col("doc") != F.lit(_LAST), F.col("doc").cast("bigint")).alias("first_doc_id"), F.shiftright(low, 30).cast("int").alias("first_line_no"), F.pmod(low, F.lit(_BITS)).alias("tie"))
-    met = lines.drop("norm").join(_small(scratch.cut(first)), ["k1", "k2"], "left")
+    first = named.join(whole, "component").select("id", "group_lines", doc.alias("doc"), (F.col("first") - doc * base).cast("bigint").alias("low"))
+    first = first.select("id", "group_lines", F.when(F.col("doc") != F.lit(_LAST), F.col("doc").cast("bigint")).alias("first_doc_id"), F.shiftright(low, 30).cast("int").alias("first_line_no"), F.pmod(low, F.lit(_BITS)).alias("tie"))
+    # lines without a mark meet nothing; numbers below all ids deal them out where the join is a shuffle
+    nothing = -1 - F.shiftrightunsigned(F.xxhash64("t1", "line_no"), 1)
+    met = marked.drop("norm").withColumn("id", F.coalesce("id", nothing)).join(_small(scratch.cut(first)), "id", "left")
     alone = F.col("group_lines").isNull()
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")) & (F.pmod("t1", F.lit(_BITS)) == F.col("tie"))
     return met.select(

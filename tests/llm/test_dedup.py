@@ -154,6 +154,25 @@ def test_a_line_is_lowered_once(spark, small_docs):
     assert plan.count("lower(") == 1
 
 
+def test_the_texts_are_not_split_again_for_the_result(spark, small_docs):
+    # it is made from lines that were written with their classes
+    plan = line_groups(small_docs, min_chars=1)._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    assert "split(" not in plan and "lower(" not in plan and "xxhash64(text" not in plan
+
+
+def test_lines_equal_brute_force_where_nothing_is_broadcast(spark, odd_docs, rows, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_KEYS", 0)
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in line_groups(odd_docs).collect()}
+    assert got == expected_lines(rows)
+
+
+def test_lines_at_the_least_length(spark):
+    # of characters of one, two and four bytes
+    plain = [(10 * n + k, c * n) for n in (18, 19, 20, 21, 79, 80) for k, c in enumerate(("a", "é", "😀"))]
+    got = lines._lines(spark.createDataFrame(plain, "doc_id bigint, text string"), 20)  # noqa: SLF001
+    assert {r.doc_id for r in got.collect()} == {d for d, t in plain if len(t) >= 20}
+
+
 def test_documents_equal_brute_force(spark, small_docs):
     got = {r.doc_id: r for r in near_duplicates(small_docs, words=4).collect()}
     group, sets, _ = brute.near_groups([(r.doc_id, r.text) for r in small_docs.collect()], 4)
